@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
+from .substring_dedup import FingerprintIndex
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = FingerprintIndex(window=13).add(_table(spark, sf_dir, "documents"), keep=False)
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 QUERIES = {
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
