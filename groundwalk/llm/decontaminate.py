@@ -62,46 +62,46 @@ def _similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity) of each document and item of which a window reaches the threshold.
 
     `start` is the first word of the best window, the earliest among equals; n_words is its length: the item's, or
     the document's if that is shorter. An item of fewer than five words is one shingle of all its words. Null or
     blank texts match nothing; rows with equal doc_id count as one document; a null doc_id is kept as such. Rows
-    that repeat an item_id with other words are windows of their own, of which the best counts. Other columns don't
-    matter.
+    that repeat an item_id with other words are windows of their own, of which the best counts. `by` names the
+    columns that tell documents apart, here and in the result. Other columns don't matter.
     """
     bench = items.select("item_id", words_of(F.col("text")).alias("item")).distinct().select("item_id", "item", F.size("item").alias("n"), F.least(F.lit(SHINGLE), F.size("item")).alias("k"))
     bench = materialize(bench, "items")
     facts = bench.where("k > 0").groupBy("k").agg(F.sum(F.col("n") - F.col("k") + 1).alias("shingles")).collect()  # five rows at most
     small = sum(r["shingles"] for r in facts) <= BROADCAST_SHINGLES
     hint = F.broadcast if small else (lambda df: df)
-    rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    rows = docs.select(*by, words_of(F.col("text")).alias("words"))
 
     found = None
     for k in sorted(r["k"] for r in facts):
         # Each step is written, or Catalyst would move copies of its costly expressions into filters below joins.
         own = materialize(bench.where(F.col("k") == k).withColumn("hashes", _shingles(F.col("item"), k)), "shingles")
         keys = own.select("item_id", "n", F.posexplode("hashes").alias("q", "h")).select("n", "q", "h").distinct()
-        at = rows.select("doc_id", "words", F.explode(F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))).alias("p"))
+        at = rows.select(*by, "words", F.explode(F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))).alias("p"))
         hits = at.withColumn("h", _hash(F.col("words"), F.col("p"), k)).join(hint(keys), "h")
         hits = hits.withColumn("start", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("words") - F.col("n"))))
-        windows = hits.select("doc_id", "start", "n", F.slice("words", F.col("start") + 1, F.col("n")).alias("window")).distinct()
-        windows = materialize(windows.repartition("doc_id", "start"), "windows")
-        windows = windows.select("doc_id", "start", "n", F.size("window").alias("n_words"), _shingles(F.col("window"), k).alias("own"))
+        windows = hits.select(*by, "start", "n", F.slice("words", F.col("start") + 1, F.col("n")).alias("window")).distinct()
+        windows = materialize(windows.repartition(*by, "start"), "windows")
+        windows = windows.select(*by, "start", "n", F.size("window").alias("n_words"), _shingles(F.col("window"), k).alias("own"))
         windows = materialize(windows.withColumn("print", simhash(F.col("own"))), "prints")
         prints = materialize(own.select("item_id", "n", "hashes", simhash(F.col("hashes")).alias("item_print")), "prints")
-        left = windows.select("doc_id", "start", "n", "n_words", "own", "print", F.inline(_blocks(F.col("print"))))
+        left = windows.select(*by, "start", "n", "n_words", "own", "print", F.inline(_blocks(F.col("print"))))
         right = prints.select("item_id", "n", "hashes", "item_print", F.inline(_blocks(F.col("item_print"))))
         near = left.join(hint(right), ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-        near = near.select("doc_id", "item_id", "start", "n_words", "own", "hashes").distinct()
-        scored = near.select("doc_id", "item_id", "start", "n_words", _similarity(F.col("own"), F.col("hashes")).alias("similarity"))
+        near = near.select(*by, "item_id", "start", "n_words", "own", "hashes").distinct()
+        scored = near.select(*by, "item_id", "start", "n_words", _similarity(F.col("own"), F.col("hashes")).alias("similarity"))
         found = scored if found is None else found.union(scored)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, similarity double")
+        found = docs.crossJoin(items).limit(0).select(*by, "item_id", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
     found = materialize(found, "scored").where(F.col("similarity") >= threshold)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("early"), "n_words")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.early")).cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), F.round("b.similarity", 6).alias("similarity"))
+    best = found.groupBy(*by, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("early"), "n_words")).alias("b"))
+    return best.select(*by, "item_id", (-F.col("b.early")).cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), F.round("b.similarity", 6).alias("similarity"))
 
 
 #: DuckDB SQL for the same windows and similarities, without fingerprints.
