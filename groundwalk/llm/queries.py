@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality
+from . import decontaminate, html_text, packing, quality
 from .near_dedup import near_duplicates
 from .substring_dedup import FingerprintIndex
 
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = quality.classify(docs, quality.train(docs, labels), threshold=0.3)
@@ -44,6 +48,7 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_main_text": op2_html_main_text,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
