@@ -137,26 +137,36 @@ def _confirm(k: int, percent: int):
     """Rows arrive sorted: each (b, chunk) starts with the text of b, its partners follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        of, sets = None, []
+        of, heads = None, []  # several heads only if an id is repeated
         for batch in batches:
             a, b = [], []
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                own = shingle_sets(pa.array([unpack(x) for x in part.column("packed").to_pylist()], pa.binary()).cast(pa.string()), k)
-                for left, right, chunk, s in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("chunk").to_pylist(), own, strict=True):
-                    if (right, chunk) != of:
-                        of, sets = (right, chunk), []
-                    if left is None:
-                        sets.append(s)  # more than one if an id is repeated
-                    elif any(_linked(s, t, percent) for t in sets):
+            for left, right, chunk, packed, n, regs in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "chunk", "packed", "n", "regs")), strict=True):
+                if (right, chunk) != of:
+                    of, heads = (right, chunk), []
+                row = (n, np.frombuffer(regs, np.uint16), None, packed)
+                if left is None:
+                    heads.append(row)
+                    continue
+                own = None
+                for h, head in enumerate(heads):
+                    if estimate((head[1] == row[1]).mean(), np.array(head[0]), np.array(n)) < percent / 100 - MARGIN:
+                        continue
+                    if head[2] is None:
+                        head = heads[h] = (*head[:2], _set_of(head[3], k), b"")
+                    own = _set_of(packed, k) if own is None else own
+                    if _linked(own, head[2], percent):
                         a.append(left)
                         b.append(right)
+                        break
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _set_of(packed: bytes, k: int) -> np.ndarray:
+    return shingle_sets(pa.array([zstandard.ZstdDecompressor().decompress(packed)], pa.binary()).cast(pa.string()), k)[0]
+
+
 def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     if not len(s) or not len(t) or 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
         return False
@@ -165,65 +175,77 @@ def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 
 def confirm(pairs: DataFrame, packed: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the (a, b) whose full shingle sets are as similar as asked.
+    """Those of the (a, b) whose estimate allows it and whose full shingle sets are as similar as asked.
 
     The partners of one b are dealt out in chunks of about 64, each with a copy of b's text, so a document with
     very many candidates loads no single task.
     """
     degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / 64).alias("chunks"))
     dealt = pairs.join(degree, "b").select("a", "b", F.pmod(F.xxhash64("a"), "chunks").alias("chunk"))
-    left = dealt.join(packed, dealt["a"] == packed["doc_id"]).select("b", "chunk", "a", "packed")
+    left = dealt.join(packed, dealt["a"] == packed["doc_id"]).select("b", "chunk", "a", "packed", "n", "regs")
     heads = degree.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    right = heads.join(packed, heads["b"] == packed["doc_id"]).select("b", "chunk", F.lit(None).cast("long").alias("a"), "packed")
+    right = heads.join(packed, heads["b"] == packed["doc_id"]).select("b", "chunk", F.lit(None).cast("long").alias("a"), "packed", "n", "regs")
     rows = left.union(right).repartition("b", "chunk").sortWithinPartitions("b", "chunk", F.col("a").asc_nulls_first())
     return rows.mapInArrow(_confirm(k, percent), "a long, b long").distinct()
 
 
-def _close_pairs(cut: float):
-    """Pairs of different components whose estimate reaches `cut`, in each group of rows with equal (band, i, j)."""
-
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([r[0] for r in rows])
-        comp = np.array([r[1] for r in rows])
-        n = np.array([r[2] for r in rows])
-        regs = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), -1)
-        chunk = np.array([r[4] for r in rows])
-        i, j = rows[0][5], rows[0][6]
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        a, b = [], []
-        for x in left:
-            other = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
-            if len(other):
-                near = other[estimate((regs[other] == regs[x]).mean(axis=1), n[other], n[x]) >= cut]
-                a.append(np.maximum(ids[near], ids[x]))
-                b.append(np.minimum(ids[near], ids[x]))
-        none = ids[:0]
-        return np.concatenate(a or [none]), np.concatenate(b or [none])
+def _joined(rows: list[tuple], k: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the components in one group of rows (doc_id, comp, n, regs, chunk, packed, i, j): for each
+    document outside the largest one, a confirmed link to every other component that has one.
 
+    All comparisons of a document are one pass over the group's sets, so nothing is put out for a pair but a link.
+    """
+    ids, comp, n, chunk = (np.array([r[c] for r in rows]) for c in (0, 1, 2, 4))
+    if len(rows) < 2 or (comp == comp[0]).all():
+        return []
+    regs = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), -1)
+    names, sizes = np.unique(comp, return_counts=True)
+    across = rows[0][6] != rows[0][7]
+    tests, wanted = [], np.zeros(len(rows), bool)
+    for x in np.flatnonzero(comp != names[np.argmax(sizes)]):
+        other = np.flatnonzero((comp != comp[x]) & (chunk != chunk[x] if across else True))
+        other = other[100 * np.minimum(n[other], n[x]) >= percent * np.maximum(n[other], n[x])]
+        if len(other):
+            other = other[estimate((regs[other] == regs[x]).mean(axis=1), n[other], n[x]) >= percent / 100 - MARGIN]
+        if len(other):
+            tests.append((x, other))
+            wanted[other] = wanted[x] = True
+    if not tests:
+        return []
+    use = np.flatnonzero(wanted)
+    place = np.cumsum(wanted) - 1
+    sets = [_set_of(rows[i][5], k) for i in use]
+    size = np.array([len(s) for s in sets])
+    at = np.concatenate([[0], np.cumsum(size)[:-1]])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(codes.max()) + 1, np.int32)
+    links = []
+    for x, other in tests:
+        other = other[comp[other] != comp[x]]
+        if not len(other):
+            continue
+        own = codes[at[place[x]] : at[place[x]] + size[place[x]]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[codes], at)[place[other]]
+        mark[own] = 0
+        near = other[100 * both >= percent * (size[place[x]] + size[place[other]] - both)]
+        for c in np.unique(comp[near]):
+            links.append((int(ids[x]), int(ids[near[comp[near] == c][0]])))
+            comp[comp == c] = comp[x]
+    return links
+
+
+def _close_links(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
-
-        def flush():
-            if len(rows) > 1:
-                out.append(pairs(rows))
-
-        def made():
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-            got = np.unique(np.stack([a, b]).astype(np.int64), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
-
         for batch in batches:
-            c = {x: batch.column(x).to_pylist() for x in batch.schema.names}
-            for r in zip(c["doc_id"], c["comp"], c["n"], c["regs"], c["chunk"], c["i"], c["j"], c["band"], strict=True):
-                if (r[7], r[5], r[6]) != key:
-                    flush()
-                    key, rows = (r[7], r[5], r[6]), []
+            for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "comp", "n", "regs", "chunk", "packed", "i", "j", "band")), strict=True):
+                if r[6:] != key:
+                    out += _joined(rows, k, percent)
+                    key, rows = r[6:], []
                 rows.append(r)
-            if out:
-                yield made()
-                out = []
-        flush()
-        yield made()
+        out = sorted({*out, *_joined(rows, k, percent)})
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     return run
 
@@ -238,7 +260,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
 
     Equal sets become one node first. Each band's documents are then compared with the band's smallest id, which
     joins nearly all true groups by as many comparisons as documents; only bands that still hold more than one
-    component are compared pair by pair, between components, in chunks of bounded size that are dealt to all tasks.
+    component are compared further, between components, in chunks of bounded size that are dealt to all tasks and
+    give back only links.
     """
     made = materialize(sketch(docs, k), "sketch")
     usable = made.where("n > 0 and doc_id is not null")
@@ -249,7 +272,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     crowded = materialize(bands.join(shared, "band"), "bands")
 
     stars = crowded.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    packed = materialize(squeezed(docs).join(crowded.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    wanted = nodes.join(crowded.select("doc_id").distinct(), "doc_id", "left_semi")
+    packed = materialize(squeezed(docs).join(wanted, "doc_id").select("doc_id", "packed", "n", "regs"), "texts")
     first = materialize(confirm(stars, packed, k, percent), "links")
     found = components(first)
 
@@ -257,10 +281,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     open_rows = placed.join(mixed, "band").withColumn("chunks", F.ceil(F.col("m") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
     dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    dealt = dealt.join(nodes, "doc_id").select("doc_id", "comp", "n", "regs", "chunk", "i", "j", "band")
+    dealt = dealt.join(packed, "doc_id").select("doc_id", "comp", "n", "regs", "chunk", "packed", "i", "j", "band")
     dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    rest = dealt.mapInArrow(_close_pairs(percent / 100 - MARGIN), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    second = confirm(materialize(rest, "pairs"), packed, k, percent)
+    second = dealt.mapInArrow(_close_links(k, percent), "a long, b long")
     repeated = usable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
     same_id = usable.join(repeated, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(first.union(second).union(same_id))
