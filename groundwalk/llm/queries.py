@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, packing, quality
+from . import decontaminate, html_text, licenses, packing, quality
 from .near_dedup import near_duplicates
 from .substring_dedup import FingerprintIndex
 
@@ -30,6 +30,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = FingerprintIndex(window=13).add(_table(spark, sf_dir, "documents"), keep=False)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -50,6 +54,7 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_html_main_text": op2_html_main_text,
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_retrieval_packing": op9_retrieval_packing,

@@ -67,8 +67,8 @@ class Words:
         return mix(out)
 
 
-def split(text: pa.Array, lower: bool = False) -> Words:
-    """Nulls count as empty texts."""
+def split(text: pa.Array, lower: bool = False, fold: np.ndarray | None = None) -> Words:
+    """Nulls count as empty texts. `fold` maps bytes before words are cut."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     text = pc.fill_null(text.cast(pa.large_string()), "").cast(pa.large_binary())
@@ -78,6 +78,8 @@ def split(text: pa.Array, lower: bool = False) -> Words:
     off = off - off[0]
     if lower:
         data = LOWER[data]
+    if fold is not None:
+        data = fold[data]
     inside = ~SPACE[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
