@@ -2,5 +2,378 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import rmat as rmat_module
+from ..operators import exact
+from ..operators import graph as g
+from ..operators import rank as r
+from ..sources import edges as sources
+from . import planner
+from .derived import GRAPHS, SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+_PARTS = "part_succession"
+
+
+def _register(name: str, sql: str | None = None):
+    def put(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            ORACLE[name] = sql
+        return query
+
+    return put
+
+
+def _graph(spark: SparkSession, sf_dir: str, name: str = _PARTS) -> g.Graph:
+    return g.build_graph(GRAPHS[name](spark, sf_dir))
+
+
+def _ranks(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
+    return r.rank(_graph(spark, sf_dir, name), **options).ranks.select("vertex", F.round("rank", 6).alias("rank"))
+
+
+# ---- SQL ----------------------------------------------------------------------------------------------------
+
+_E = f"e AS MATERIALIZED ({SQL[_PARTS]})"
+
+
+def _walk(graph: str, most: int = 100) -> str:
+    """CTEs of the whole iteration with the ground as vertex 2^40: it(k, v, s), n, dl(k, d), stop(k)."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({SQL[graph]}),
+vx AS MATERIALIZED (SELECT src v FROM e UNION SELECT dst FROM e),
+n AS MATERIALIZED (SELECT count(*)::DOUBLE n FROM vx),
+od AS MATERIALIZED (SELECT v, coalesce(c,0)+1 d FROM vx LEFT JOIN (SELECT src, count(*) c FROM e GROUP BY src) o ON o.src=vx.v),
+t AS MATERIALIZED (SELECT e.src, e.dst, count(*)/max(od.d)::DOUBLE w FROM e JOIN od ON od.v=e.src GROUP BY e.src, e.dst
+  UNION ALL SELECT v, 1099511627776, 1.0::DOUBLE/d FROM od UNION ALL SELECT 1099511627776, v, 1.0/n FROM vx, n),
+it(k,v,s) AS (SELECT 0, v, 1.0::DOUBLE FROM vx UNION ALL SELECT 0, 1099511627776, 0.0::DOUBLE
+  UNION ALL SELECT k+1, t.dst, sum(t.w*it.s) FROM it JOIN t ON it.v=t.src WHERE k<{most} GROUP BY k+1, t.dst),
+dl AS (SELECT a.k, sum(abs(a.s-b.s)) d FROM it a JOIN it b ON a.v=b.v AND a.k=b.k+1 GROUP BY a.k),
+stop AS (SELECT coalesce(min(k),{most}) k FROM dl, n WHERE d<1e-8*n)
+"""
+
+
+_FINAL = "final AS (SELECT a.v AS vertex, round(a.s+g.s/n.n,6) AS rank FROM it a, it g, n, stop WHERE a.k=stop.k AND g.k=stop.k AND a.v<1099511627776 AND g.v=1099511627776)"
+
+
+def _rank_sql(graph: str, most: int = 100) -> str:
+    return _walk(graph, most) + f", {_FINAL} SELECT vertex, rank FROM final"
+
+
+# ---- scans, sets, degrees -----------------------------------------------------------------------------------
+
+
+@_register("edge_scan", SQL[_PARTS])
+def edge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GRAPHS[_PARTS](spark, sf_dir)
+
+
+@_register("edge_scan_csv", f"WITH {_E} SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst FROM e")
+def edge_scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges written as `from,to` text and read back by the checked reader."""
+    from ..scratch import shared_dir
+
+    path = f"{shared_dir(spark)}/edges-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}.csv"
+    sources.write_edges(GRAPHS[_PARTS](spark, sf_dir), path)
+    return sources.read_edges(spark, path)
+
+
+@_register("snap_filter", "SELECT CAST(regexp_extract(line, '^([0-9]+)', 1) AS INTEGER) AS src, CAST(regexp_extract(line, '([0-9]+)$', 1) AS INTEGER) AS dst FROM (SELECT l_partkey || CASE WHEN l_linenumber % 5 = 0 THEN ' # ' ELSE chr(9) END || l_suppkey AS line FROM lineitem) WHERE regexp_matches(line, '^[0-9]+\\t[0-9]+$')")
+def snap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lines of which only those of exactly two numbers are edges."""
+    from ..scratch import shared_dir
+
+    path = f"{shared_dir(spark)}/snap-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}.txt"
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    mark = F.when(F.col("l_linenumber") % 5 == 0, " # ").otherwise("\t")
+    lines.select(F.concat(F.col("l_partkey").cast("string"), mark, F.col("l_suppkey").cast("string")).alias("value")).write.mode("overwrite").text(path)
+    return sources.read_snap(spark, path)
+
+
+@_register("edge_count", f"WITH {_E} SELECT count(*) AS edges FROM e")
+def edge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GRAPHS[_PARTS](spark, sf_dir).agg(F.count("*").alias("edges"))
+
+
+@_register("vertex_set", f"WITH {_E} SELECT src AS v FROM e UNION SELECT dst FROM e")
+def vertex_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.vertex_set(GRAPHS[_PARTS](spark, sf_dir))
+
+
+@_register("vertex_count", f"WITH {_E} SELECT count(*) AS vertices FROM (SELECT src FROM e UNION SELECT dst FROM e)")
+def vertex_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.vertex_set(GRAPHS[_PARTS](spark, sf_dir)).agg(F.count("*").alias("vertices"))
+
+
+@_register("in_degree", f"WITH {_E} SELECT dst AS v, count(*) AS in_degree FROM e GROUP BY dst")
+def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.in_degrees(GRAPHS[_PARTS](spark, sf_dir))
+
+
+@_register("out_degree", f"WITH {_E} SELECT src AS v, count(*) AS out_degree FROM e GROUP BY src")
+def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.out_degrees(GRAPHS[_PARTS](spark, sf_dir))
+
+
+@_register("degree_join", f"WITH e AS MATERIALIZED ({SQL['cust_supp']}) SELECT v, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) AS in_degree FROM (SELECT src AS v FROM e UNION SELECT dst FROM e) LEFT JOIN (SELECT src, count(*) c FROM e GROUP BY src) o ON o.src = v LEFT JOIN (SELECT dst, count(*) c FROM e GROUP BY dst) i ON i.dst = v")
+def degree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.degrees(g.collapse(GRAPHS["cust_supp"](spark, sf_dir))).select("v", "out_degree", "in_degree")
+
+
+@_register("self_loops", f"WITH e AS ({SQL['nation_trade']}) SELECT src AS v, count(*) AS loops FROM e WHERE src = dst GROUP BY src")
+def self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GRAPHS["nation_trade"](spark, sf_dir).where("src = dst").groupBy(F.col("src").alias("v")).agg(F.count("*").alias("loops"))
+
+
+@_register("multi_edge_collapse", f"WITH {_E} SELECT src, dst, count(*) AS mult FROM e GROUP BY src, dst")
+def multi_edge_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.collapse(GRAPHS[_PARTS](spark, sf_dir))
+
+
+@_register("in_neighbours", f"WITH {_E} SELECT src FROM e WHERE dst = 7")
+def in_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.in_neighbours(_graph(spark, sf_dir), 7)
+
+
+@_register("adjacency_lists", f"WITH {_E} SELECT dst, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS sources FROM e GROUP BY dst")
+def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.adjacency(_graph(spark, sf_dir)).select("dst", F.concat_ws(",", F.col("sources").cast("array<string>")).alias("sources"))
+
+
+@_register("hyper_nodes", f"WITH e AS ({SQL['user_handoff']}), d AS (SELECT dst AS v, count(*) AS in_degree FROM e GROUP BY dst) SELECT v, in_degree FROM d WHERE in_degree > 1.1 * (SELECT (SELECT count(*) FROM e) / count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e))")
+def hyper_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices whose in-degree is over 1.1 times the mean."""
+    graph = _graph(spark, sf_dir, "user_handoff")
+    return graph.vertices.where(F.col("in_degree") > F.lit(1.1 * graph.m / graph.n)).select("v", "in_degree")
+
+
+# ---- dense ids, running sums, plans -------------------------------------------------------------------------
+
+
+def _placed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    place = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*place[1:]))
+    return lines.select(F.col("l_partkey").alias("src"), following.alias("dst"), *place).where("dst is not null")
+
+
+_PLACED = "p AS MATERIALIZED (SELECT src, dst, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM (SELECT *, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL), ids AS (SELECT v, row_number() OVER (ORDER BY min(pos)) - 1 AS dense FROM (SELECT src AS v, 2 * pos AS pos FROM p UNION ALL SELECT dst, 2 * pos + 1 FROM p) GROUP BY v)"
+_PLACE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+@_register("dense_ids", f"WITH {_PLACED} SELECT v, dense FROM ids")
+def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in order of first appearance."""
+    return exact.dense_ids(_placed_edges(spark, sf_dir), *_PLACE).select("v", F.col("dense").cast("long").alias("dense"))
+
+
+@_register("dense_encode", f"WITH {_PLACED} SELECT a.dense AS src, b.dense AS dst, count(*) AS mult FROM p JOIN ids a ON a.v = p.src JOIN ids b ON b.v = p.dst GROUP BY 1, 2")
+def dense_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges rewritten to dense ids, by two joins with the dictionary."""
+    edges = _placed_edges(spark, sf_dir)
+    coded = exact.relabel(edges, exact.dense_ids(edges, *_PLACE)).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    return g.collapse(coded)
+
+
+@_register("csc_prefix_sums", f"WITH {_E} SELECT dst AS v, count(*) AS in_degree, CAST(sum(count(*)) OVER (ORDER BY dst) AS BIGINT) AS upto FROM e GROUP BY dst")
+def csc_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.prefix_sums(g.in_degrees(GRAPHS[_PARTS](spark, sf_dir)))
+
+
+def _ranges(spark: SparkSession, sf_dir: str, plan) -> DataFrame:
+    """A plan over nations by in-degree: 25 numbers at any scale."""
+    graph = _graph(spark, sf_dir, "nation_trade")
+    upto = [0]
+    for row in graph.vertices.orderBy("v").collect():
+        upto.append(upto[-1] + row["in_degree"])
+    return spark.createDataFrame([(x.begin, x.end, x.edges, x.oversized) for x in plan(upto)], "first long, past long, edges long, oversized boolean")
+
+
+def _greedy_sql(close: str, flag: str) -> str:
+    """Ranges over running in-degrees by a recursive fold; `close` says when a range ends before vertex i."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({SQL['nation_trade']}),
+d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY v) - 1 AS i, coalesce(c, 0) AS c FROM (SELECT src AS v FROM e UNION SELECT dst FROM e) LEFT JOIN (SELECT dst, count(*) AS c FROM e GROUP BY dst) ON dst = v),
+q AS MATERIALIZED (SELECT count(*) AS n, CAST(sum(c) AS BIGINT) AS m FROM d),
+f(i, part, acc) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), (SELECT c FROM d WHERE i = 0)
+  UNION ALL SELECT d.i, f.part + CASE WHEN {close} THEN 1 ELSE 0 END, CASE WHEN {close} THEN d.c ELSE f.acc + d.c END FROM f JOIN d ON d.i = f.i + 1, q)
+SELECT min(f.i) AS first, max(f.i) + 1 AS past, CAST(sum(d.c) AS BIGINT) AS edges, {flag} AS oversized FROM f JOIN d USING (i) GROUP BY part"""
+
+
+@_register("shard_plan", _greedy_sql("f.part < 7 AND f.acc >= greatest(1, q.m // 8)", "false"))
+def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, lambda upto: planner.plan_shards(upto, 8))
+
+
+_MOST = "(q.m // 20)"
+
+
+@_register("bin_plan", _greedy_sql(f"f.acc + d.c > {_MOST}", f"max(d.c) > (SELECT {_MOST} FROM q)"))
+def bin_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, lambda upto: planner.plan_bins(upto, upto[-1] // 20))
+
+
+@_register("bin_counts", f"WITH {_E} SELECT dst // 64 AS bin, count(*) AS edges FROM e GROUP BY 1")
+def bin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges per range of 64 destinations."""
+    return GRAPHS[_PARTS](spark, sf_dir).groupBy(F.floor(F.col("dst") / 64).alias("bin")).agg(F.count("*").alias("edges"))
+
+
+@_register("bin_route", f"WITH {_E}, b AS (SELECT i * 64 AS first, (i + 1) * 64 AS past FROM range(0, 400) r(i)) SELECT first, past, src, dst FROM e JOIN b ON dst >= first AND dst < past WHERE dst BETWEEN 100 AND 140")
+def bin_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a destination window with the range that holds them; a range join turned into arithmetic."""
+    rows = GRAPHS[_PARTS](spark, sf_dir).where("dst between 100 and 140")
+    first = F.floor(F.col("dst") / 64) * 64
+    return rows.select(first.alias("first"), (first + 64).alias("past"), "src", "dst")
+
+
+# ---- one step -----------------------------------------------------------------------------------------------
+
+_OD = "vx AS (SELECT src v FROM e UNION SELECT dst FROM e), od AS (SELECT v, coalesce(c,0)+1 AS d FROM vx LEFT JOIN (SELECT src, count(*) c FROM e GROUP BY src) o ON o.src=vx.v)"
+
+
+@_register("first_step_contrib", f"WITH {_E}, {_OD} SELECT v, round(1.0 / d, 9) AS c FROM od")
+def first_step_contrib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.first_state(_graph(spark, sf_dir)).select("v", F.round("c", 9).alias("c"))
+
+
+@_register("one_gather_step", f"WITH {_E}, {_OD} SELECT vx.v AS v, round(coalesce(x, 0), 9) AS s FROM vx LEFT JOIN (SELECT dst, sum(1.0::DOUBLE / d) x FROM e JOIN od ON od.v = e.src GROUP BY dst) ON dst = vx.v")
+def one_gather_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores after one step; the ground starts at 0."""
+    graph = _graph(spark, sf_dir)
+    return r.step(graph, r.first_state(graph), 0.0, "shuffle").select("v", F.round("s", 9).alias("s"))
+
+
+@_register("ordered_gather", f"WITH {_E}, {_OD} SELECT dst AS v, round(0.5 + sum(1.0::DOUBLE / d), 9) AS s FROM e JOIN od ON od.v = e.src GROUP BY dst")
+def ordered_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _graph(spark, sf_dir)
+    return exact.ordered_gather(graph.edges, r.first_state(graph).select("v", "c"), 0.5).select("v", F.round("s", 9).alias("s"))
+
+
+@_register("ground_mass", f"WITH {_E}, {_OD} SELECT round(sum(1.0::DOUBLE / d), 6) AS ground FROM od")
+def ground_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.first_state(_graph(spark, sf_dir)).agg(F.round(F.sum("c"), 6).alias("ground"))
+
+
+@_register("transition_matrix", f"WITH {_E}, {_OD}, n AS (SELECT count(*)::DOUBLE n FROM vx) SELECT e.src AS src, e.dst AS dst, round(count(*)/max(od.d)::DOUBLE, 9) AS w FROM e JOIN od ON od.v=e.src GROUP BY e.src, e.dst UNION ALL SELECT v, 1099511627776, round(1.0::DOUBLE/d, 9) FROM od UNION ALL SELECT 1099511627776, v, round(1.0/n, 9) FROM vx, n")
+def transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.transition_table(_graph(spark, sf_dir)).select("src", "dst", F.round("w", 9).alias("w"))
+
+
+# ---- ranks --------------------------------------------------------------------------------------------------
+
+
+@_register("rank_parallel", _rank_sql(_PARTS))
+def rank_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(spark, sf_dir, _PARTS)
+
+
+@_register("rank_pull", _rank_sql(_PARTS))
+def rank_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distributed run with broadcast contributions."""
+    return _ranks(spark, sf_dir, _PARTS, strategy="pull")
+
+
+@_register("rank_shuffle", _rank_sql("nation_trade"))
+def rank_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distributed run for any number of vertices."""
+    return _ranks(spark, sf_dir, "nation_trade", strategy="shuffle")
+
+
+@_register("rank_common", _rank_sql(_PARTS))
+def rank_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(spark, sf_dir, _PARTS, engine="common")
+
+
+@_register("rank_dense", _rank_sql("nation_trade"))
+def rank_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(spark, sf_dir, "nation_trade", engine="dense")
+
+
+@_register("rank_exact", _rank_sql(_PARTS))
+def rank_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit-exact run in order of first appearance."""
+    return exact.exact_rank(_placed_edges(spark, sf_dir), *_PLACE).ranks.select("vertex", F.round("rank", 6).alias("rank"))
+
+
+@_register("rank_capped_2_iterations", _rank_sql(_PARTS, 2))
+def rank_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(spark, sf_dir, _PARTS, max_iterations=2)
+
+
+@_register("rank_bipartite_not_converged", _rank_sql("cust_supp"))
+def rank_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(spark, sf_dir, "cust_supp")
+
+
+@_register("rank_nation", _rank_sql("nation_trade"))
+def rank_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(spark, sf_dir, "nation_trade")
+
+
+@_register("rank_handoff", _rank_sql("user_handoff"))
+def rank_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(spark, sf_dir, "user_handoff")
+
+
+@_register("top_n", _walk(_PARTS) + f", {_FINAL} SELECT vertex, rank FROM final ORDER BY rank DESC, vertex LIMIT 10")
+def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.leaderboard(_ranks(spark, sf_dir, _PARTS)).limit(10)
+
+
+@_register("leaderboard_position", _walk(_PARTS) + f", {_FINAL} SELECT vertex, rank, row_number() OVER (ORDER BY rank DESC, vertex) AS position FROM final")
+def leaderboard_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = _ranks(spark, sf_dir, _PARTS)
+    placed = exact.numbered(ranks, F.struct((-F.col("rank")).alias("a"), "vertex"), "position")
+    return placed.select("vertex", "rank", (F.col("position") + 1).cast("long").alias("position"))
+
+
+@_register("total_mass", _walk("nation_trade") + f", {_FINAL} SELECT count(*) AS vertices, round(sum(rank), 3) AS mass, max_by(vertex, rank) AS leader FROM final")
+def total_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(spark, sf_dir, "nation_trade").agg(F.count("*").alias("vertices"), F.round(F.sum("rank"), 3).alias("mass"), F.max_by("vertex", "rank").alias("leader"))
+
+
+@_register("verify_max_diff", f"WITH e AS ({SQL['nation_trade']}) SELECT 0.0::DOUBLE AS max_diff, count(*) AS vertices FROM (SELECT src FROM e UNION SELECT dst FROM e)")
+def verify_max_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = r.verify(_graph(spark, sf_dir, "nation_trade"))
+    return spark.createDataFrame([(round(found["max_abs_difference"], 9), found["vertices"])], "max_diff double, vertices long")
+
+
+@_register("iteration_trace", _walk(_PARTS) + "SELECT CAST(dl.k AS INTEGER) AS k, round(d, 6) AS delta, d < 1e-8 * n AS converged FROM dl, n, stop WHERE dl.k <= stop.k")
+def iteration_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _graph(spark, sf_dir)
+    found = r.rank(graph)
+    return spark.createDataFrame([(k, round(d, 6), d < r.TOLERANCE * graph.n) for k, d in found.trace], "k int, delta double, converged boolean")
+
+
+@_register("l1_delta_k", _walk(_PARTS, 3) + "SELECT round(d, 6) AS delta FROM dl WHERE k = 3")
+def l1_delta_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of all changes in the third iteration, from a distributed run."""
+    found = r.rank(_graph(spark, sf_dir), max_iterations=3, strategy="pull")
+    return spark.createDataFrame([(round(found.trace[-1][1], 6),)], "delta double")
+
+
+@_register("rank_csv_output", _walk(_PARTS) + f", {_FINAL} SELECT vertex, rank FROM final")
+def rank_csv_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks written as `vertex,rank` text at full precision and read back."""
+    from ..scratch import shared_dir
+
+    path = f"{shared_dir(spark)}/ranks-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}.csv"
+    sources.write_ranks(r.rank(_graph(spark, sf_dir)).ranks, path)
+    return spark.read.csv(path, header=True, schema="vertex long, rank double").select("vertex", F.round("rank", 6).alias("rank"))
+
+
+@_register("rmat_edges")
+def rmat_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rmat_module.rmat(spark, 10, 20_000, seed=99)
+
+
+@_register("rmat_rank")
+def rmat_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = g.build_graph(rmat_module.rmat(spark, 10, 20_000, seed=99).select("src", "dst"))
+    return r.rank(graph).ranks
