@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licenses, packing, quality
+from . import decontaminate, html_text, licenses, packing, quality, tool_calls
 from .near_dedup import near_duplicates
 from .substring_dedup import FingerprintIndex
 
@@ -20,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.of_conversations(_table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.SCHEMAS)
+
+
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,7 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_tool_calls": op1_chat_tool_calls,
     "op2_html_main_text": op2_html_main_text,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_license_scan": op6_license_scan,
@@ -62,5 +68,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_chat_tool_calls": tool_calls.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }
