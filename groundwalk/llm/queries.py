@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licenses, packing, quality, tool_calls
+from . import decontaminate, html_text, licenses, media, packing, quality, tool_calls
 from .near_dedup import near_duplicates
 from .substring_dedup import FingerprintIndex
 
@@ -35,6 +35,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store(_table(spark, sf_dir, "documents")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_chat_tool_calls": op1_chat_tool_calls,
     "op2_html_main_text": op2_html_main_text,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_lossless_webp": op5_lossless_webp,
     "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
