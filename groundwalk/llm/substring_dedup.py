@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ from .words import U64, Words, mix, slices, split
 ANCHOR = 5
 #: Rows that a merge gathers before it groups its answers by document.
 ANSWERS = 400_000
+#: Answers travel by blocks of 2 ** BLOCK neighbouring document ids.
+BLOCK = 6
+_ANSWER = "block long, places binary, keys binary"
+#: Stands for a key where a document is a copy of a smaller one.
+COPY = -(2**63)
 
 
 def _anchors(words: Words, hashes: np.ndarray, window: int) -> np.ndarray:
@@ -46,6 +52,12 @@ def _anchors(words: Words, hashes: np.ndarray, window: int) -> np.ndarray:
     return mix(least)
 
 
+def _whole(hashes: np.ndarray) -> tuple[int, int]:
+    """96 bits over all words of a text, as an odd long and an int; anchors are even."""
+    got = hashlib.blake2b(hashes.tobytes(), digest_size=12).digest()
+    return int.from_bytes(got[:8], "little", signed=True) | 1, int.from_bytes(got[8:], "little", signed=True)
+
+
 def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Document of each word, and whether a window that lies within its document starts there."""
     count = np.diff(words.first)
@@ -82,27 +94,33 @@ def _held(key: np.ndarray, second: np.ndarray | None, doc: np.ndarray, head) ->
 def _runs(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs = [], []
+            keys, docs, copies = [], [], []
             for part in slices(batch):
                 words = split(part.column("text"))
-                anchors = _anchors(words, words.hashes(), window)
+                hashes = words.hashes()
+                anchors = _anchors(words, hashes, window)
                 doc, whole = _windows(words, window)
                 ids = part.column("doc_id").to_numpy()
                 ok = whole[: len(anchors)]
                 key, who = anchors[ok], ids[doc[: len(anchors)][ok]]
                 fresh = np.ones(len(key), bool)
                 fresh[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])  # neighbours mostly share their anchor
-                keys.append(key[fresh])
+                keys.append(key[fresh] & ~U64(1))
                 docs.append(who[fresh])
+                copies += [(*_whole(hashes[a:b]), i) for a, b, i in zip(words.first[:-1], words.first[1:], ids.tolist(), strict=True) if b - a >= window]
             if keys:
                 key, _, one, more = _held(np.concatenate(keys), None, np.concatenate(docs), max)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(one), pa.array(more, pa.binary())], ["h", "doc_id", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.zeros(len(key), np.int32)), pa.array(one), pa.array(more, pa.binary())], ["h", "check", "doc_id", "more"])
+            if copies:
+                h, check, ids = (np.array(x) for x in zip(*copies, strict=True))
+                key, second, one, more = _held(h.astype(np.int64), check.astype(np.int32), -ids, max)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(second), pa.array(one), pa.array(more, pa.binary())], ["h", "check", "doc_id", "more"])
 
     return run
 
 
 class _Answers:
-    """(document, fingerprint) pairs, put out as one row for each document of a stretch."""
+    """(document, fingerprint) pairs, put out as one row for each block of neighbouring ids in a stretch."""
 
     def __init__(self) -> None:
         self.docs: list[np.ndarray] = []
@@ -118,56 +136,59 @@ class _Answers:
         docs, keys = np.concatenate([np.zeros(0, np.int64), *self.docs]), np.concatenate([np.zeros(0, np.int64), *self.keys])
         order = np.argsort(docs, kind="stable")
         docs, keys = docs[order], keys[order]
-        at = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
+        block, place = docs >> BLOCK, (docs & ((1 << BLOCK) - 1)).astype(np.uint8)
+        at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(docs) else np.zeros(0, np.int64)
         to = np.append(at[1:], len(docs))[: len(at)]
         self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array([keys[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary())], ["doc_id", "keys"])
+        spans = list(zip(at.tolist(), to.tolist(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array([place[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary())], ["block", "places", "keys"])
 
 
-def _spread(docs: np.ndarray, keys: np.ndarray, more: list, to: _Answers, least: int) -> None:
-    """Every document of the entries that is `least` or larger."""
-    ok = docs >= least
-    to.put(docs[ok], keys[ok])
+def _spread(docs: np.ndarray, keys: np.ndarray, more: list, to: _Answers) -> None:
+    """Every document of the entries."""
+    to.put(docs, keys)
     for i, m in enumerate(more):
         if m is not None:
             rest = np.frombuffer(m, np.int64)
-            rest = rest[rest >= least]
             to.put(rest, np.full(len(rest), keys[i]))
 
 
 def _shared(new_from: int):
-    """Merge of runs sorted by (h, doc_id descending): the holders of each anchor that two documents hold, one of them new."""
+    """Merge of runs sorted by (h, check, doc_id descending). Of anchors, the holders of each that two documents hold,
+    one of them new. Of whole texts, whose ids are negated, all new holders but the smallest, as copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers, held, known, top = _Answers(), None, None, None
-        # held: an entry that has had no second document yet; known: the key that has; top: largest document of the last key.
+        # held: an entry that has had no second document yet; known: the key that has; top: first document of the last key.
         for batch in batches:
             if not len(batch):
                 continue
-            h, doc, more = batch.column("h").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("more").to_pylist()
+            h, check, doc, more = (batch.column("h").to_numpy(), batch.column("check").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("more").to_pylist())
             if held is not None:
-                h, doc, more = np.append(held[0], h), np.append(held[1], doc), [None, *more]
+                h, check, doc, more = np.append(held[0], h), np.append(held[1], check), np.append(held[2], doc), [None, *more]
                 held = None
             new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            if known is not None and h[0] == known:
+            new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+            if known == (h[0], check[0]):
                 new[0] = False
             group = np.cumsum(new)
-            size = np.bincount(group, minlength=group[-1] + 1)
-            two = size[group] > 1
+            two = np.bincount(group, minlength=group[-1] + 1)[group] > 1
             two |= np.array([m is not None for m in more])
-            if known is not None:
-                two |= group == 0
-            firsts = np.concatenate([[top if top is not None else -(2**63)], doc[new]]).astype(np.int64)
-            several = np.bincount(group, weights=two, minlength=len(size)) > 0
-            emit = several[group] & (firsts[group] >= new_from)
-            index = np.flatnonzero(emit)
-            _spread(doc[index], h[index], [more[i] for i in index], answers, -(2**63))
+            two |= group == 0
+            firsts = np.concatenate([[top if top is not None else 0], doc[new]]).astype(np.int64)
+            several = np.bincount(group, weights=two, minlength=len(firsts)) > 0
+            odd = (h & 1) == 1
+            index = np.flatnonzero(several[group] & ~odd & (firsts[group] >= new_from))
+            _spread(doc[index], h[index], [more[i] for i in index], answers)
+            for i in np.flatnonzero(several[group] & odd):
+                rest = -np.append(np.frombuffer(more[i] or b"", np.int64), doc[i])
+                rest = rest[(rest > -firsts[group[i]]) & (rest >= new_from)]
+                answers.put(rest, np.full(len(rest), COPY))
             top = int(firsts[group[-1]])
             if several[group[-1]]:
-                known = h[-1]
+                known = (h[-1], check[-1])
             else:
-                known, held = None, (h[-1], doc[-1])
+                known, held = None, (h[-1], check[-1], doc[-1])
             if answers.count >= ANSWERS:
                 yield answers.take()
         yield answers.take()
@@ -206,22 +227,27 @@ def _later(new_from: int):
     return run
 
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[bytes], np.ndarray]]:
-    """Of rows sorted by (key, kind): each document's id, its packed texts (several if the id repeats) and its keys."""
-    now, doc, texts, keys = None, None, [], []
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes, np.ndarray]]:
+    """Of rows sorted by (block, kind), answers before texts: each document's id, its packed text and its keys."""
+    now, places, keys, sorted_keys = None, [], [], None
+    none = np.zeros(0, np.int64)
     for batch in batches:
-        for key, doc_id, packed, got in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "packed", "keys")), strict=True):
-            if now is None or key != now:
-                if texts:
-                    yield doc, texts, np.frombuffer(b"".join(keys), np.int64)
-                now, texts, keys = key, [], []
-            if packed is not None:
-                doc = doc_id
-                texts.append(packed)
-            else:
+        for block, doc_id, packed, place, got in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "packed", "places", "keys")), strict=True):
+            if now is None or block != now:
+                now, places, keys, sorted_keys = block, [], [], None
+            if packed is None:
+                places.append(place)
                 keys.append(got)
-    if texts:
-        yield doc, texts, np.frombuffer(b"".join(keys), np.int64)
+                continue
+            if doc_id is None or not places:
+                yield doc_id, packed, none
+                continue
+            if sorted_keys is None:
+                where = np.frombuffer(b"".join(places), np.uint8)
+                order = np.argsort(where, kind="stable")
+                sorted_keys = (where[order], np.frombuffer(b"".join(keys), np.int64)[order])
+            a, b = np.searchsorted(sorted_keys[0], [doc_id & ((1 << BLOCK) - 1), (doc_id & ((1 << BLOCK) - 1)) + 1])
+            yield doc_id, packed, sorted_keys[1][a:b]
 
 
 def _groups(batches, rows: int = 200):
@@ -235,22 +261,36 @@ def _groups(batches, rows: int = 200):
         yield some
 
 
-_PLACED = "doc_id long, n_words long, kept_sha256 string, packed binary, keys binary"
+_PLACED = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, spans binary, packed binary, keys binary"
+
+
+def _text_hash(raw: bytes) -> int:
+    """As F.xxhash64 has it."""
+    return int.from_bytes(xxhash.xxh64_digest(raw, seed=42), "big", signed=True)
+
+
+_EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that share no anchor are finished; the others keep their text and their shared anchors."""
+    """Documents that share no anchor, and copies, are finished; the others keep their text and their shared anchors."""
     unpack = zstandard.ZstdDecompressor().decompress
     for some in _groups(batches):
-        out = []
-        for doc, texts, keys in some:
-            for packed in texts:
-                if len(keys) and doc is not None:
-                    out.append((doc, None, None, packed, keys.tobytes()))
-                else:
-                    words = unpack(packed).split()
-                    out.append((doc, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None))
-        yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "n_words", "kept_sha256", "packed", "keys"), r, strict=True)) for r in out], schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("packed", pa.binary()), ("keys", pa.binary())]))
+        out: dict[str, list] = {"doc_id": [], "text_hash": [], "n_words": [], "n_removed": [], "kept_sha256": [], "spans": [], "packed": [], "keys": []}
+        for doc, packed, keys in some:
+            if not len(keys):
+                raw = unpack(packed)
+                words = raw.split()
+                row = (doc, _text_hash(raw), len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest(), b"", None, None)
+            elif (keys == COPY).any():
+                raw = unpack(packed)
+                n = len(raw.split())
+                row = (doc, _text_hash(raw), n, n, _EMPTY, np.array([0, n], np.int64).tobytes(), None, None)
+            else:
+                row = (doc, None, None, None, None, None, packed, keys.tobytes())
+            for column, value in zip(out.values(), row, strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.binary()), ("packed", pa.binary()), ("keys", pa.binary())]))
 
 
 def _prints(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +309,7 @@ def _window_runs(window: int):
                 part = batch.slice(at, 256)
                 words = split(pa.array([unpack(x) for x in part.column("packed").to_pylist()], pa.binary()).cast(pa.string()))
                 hashes = words.hashes()
-                anchors = _anchors(words, hashes, window).view(np.int64)
+                anchors = (_anchors(words, hashes, window) & ~U64(1)).view(np.int64)
                 w, check = _prints(words, hashes, window)
                 ids = part.column("doc_id").to_numpy()
                 for d, keys in enumerate(part.column("keys").to_pylist()):
@@ -290,38 +330,39 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for some in _groups(batches):
-            out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "spans": []}
-            for doc, texts, keys in some:
-                for packed in texts:
-                    raw = unpack(packed)
-                    words = split(pa.array([raw], pa.binary()).cast(pa.string()))
-                    n = len(words.start)
-                    gone = np.zeros(n, bool)
-                    if len(keys) and n >= window:
-                        w, _ = _prints(words, words.hashes(), window)
-                        edge = np.zeros(n + 1, np.int64)
-                        hit = np.flatnonzero(np.isin(w, keys))
-                        np.add.at(edge, hit, 1)
-                        np.add.at(edge, hit + window, -1)
-                        gone = np.cumsum(edge)[:n] > 0
-                    kept = b" ".join(w for w, g in zip(raw.split(), gone.tolist(), strict=True) if not g)
-                    steps = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    out["doc_id"].append(doc)
-                    out["n_words"].append(n)
-                    out["n_removed"].append(int(gone.sum()))
-                    out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    out["kept"].append(kept.decode() if gone.any() else None)
-                    out["spans"].append(steps.astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.binary())]))
+            out: dict[str, list] = {"doc_id": [], "text_hash": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "spans": []}
+            for doc, packed, keys in some:
+                raw = unpack(packed)
+                words = split(pa.array([raw], pa.binary()).cast(pa.string()))
+                n = len(words.start)
+                gone = np.zeros(n, bool)
+                if len(keys) and n >= window:
+                    w, _ = _prints(words, words.hashes(), window)
+                    edge = np.zeros(n + 1, np.int64)
+                    hit = np.flatnonzero(np.isin(w, keys))
+                    np.add.at(edge, hit, 1)
+                    np.add.at(edge, hit + window, -1)
+                    gone = np.cumsum(edge)[:n] > 0
+                kept = b" ".join(w for w, g in zip(raw.split(), gone.tolist(), strict=True) if not g)
+                steps = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                out["doc_id"].append(doc)
+                out["text_hash"].append(_text_hash(raw))
+                out["n_words"].append(n)
+                out["n_removed"].append(int(gone.sum()))
+                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                out["kept"].append(kept.decode() if gone.any() else None)
+                out["spans"].append(steps.astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.binary())]))
 
     return run
 
 
 def _meet(texts: DataFrame, answers: DataFrame) -> DataFrame:
     """Texts and the keys that concern them, side by side; rows without an id are dealt by their text."""
-    left = texts.select(F.coalesce("doc_id", F.xxhash64("packed")).alias("key"), F.lit(0).alias("kind"), "doc_id", "packed", F.lit(None).cast("binary").alias("keys"))
-    right = answers.select(F.col("doc_id").alias("key"), F.lit(1).alias("kind"), "doc_id", F.lit(None).cast("binary").alias("packed"), "keys")
-    return left.union(right).repartition("key").sortWithinPartitions("key", "kind")
+    none = F.lit(None).cast("binary")
+    left = texts.select(F.coalesce(F.shiftright("doc_id", BLOCK), F.xxhash64("packed")).alias("block"), F.lit(1).alias("kind"), "doc_id", "packed", none.alias("places"), none.alias("keys"))
+    right = answers.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), none.alias("packed"), "places", "keys")
+    return left.union(right).repartition("block").sortWithinPartitions("block", "kind")
 
 
 class FingerprintIndex:
@@ -338,13 +379,13 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept (the text left, null if nothing
-        went), spans (removed word ranges, packed int64 ends).
+        went), spans (removed word ranges, packed int64 ends), text_hash (xxhash64 of the text, to tell rows apart).
 
         A null text has no words. A row without doc_id is neither indexed nor cut. Rows that repeat a doc_id stand for
         one document: they don't remove each other's words. Other columns don't matter.
         """
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        fresh, new_from = docs.where("doc_id is not null").mapInArrow(_runs(self.window), "h long, doc_id long, more binary"), -(2**63)
+        fresh, new_from = docs.where("doc_id is not null").mapInArrow(_runs(self.window), "h long, check int, doc_id long, more binary"), -(2**63)
         if self.runs:
             low = docs.agg(F.min("doc_id")).first()[0]
             if low is not None and self.top is not None and low <= self.top:
@@ -359,14 +400,14 @@ class FingerprintIndex:
         texts = docs.mapInArrow(_squeeze, "doc_id long, packed binary")
         every = texts if self.seen is None else texts.union(self.seen.mapInArrow(_squeeze, "doc_id long, packed binary"))
 
-        shared = runs.repartition("h").sortWithinPartitions("h", F.desc("doc_id")).mapInArrow(_shared(new_from), "doc_id long, keys binary")
+        shared = runs.repartition("h").sortWithinPartitions("h", "check", F.desc("doc_id")).mapInArrow(_shared(new_from), _ANSWER)
         placed = materialize(_meet(every, shared).mapInArrow(_place, _PLACED), "placed")
         hit = placed.where("packed is not null")
         prints = hit.mapInArrow(_window_runs(self.window), "w long, check int, doc_id long, more binary").repartition("w").sortWithinPartitions("w", "check", "doc_id")
-        later = prints.mapInArrow(_later(new_from), "doc_id long, keys binary")
+        later = prints.mapInArrow(_later(new_from), _ANSWER)
         mine = F.coalesce(F.col("doc_id") >= new_from, F.lit(True))
-        cut = _meet(hit.where(mine).select("doc_id", "packed"), later).mapInArrow(_cut(self.window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans binary")
-        clean = placed.where(F.col("packed").isNull() & mine).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"), F.lit(b"").alias("spans"))
+        cut = _meet(hit.where(mine).select("doc_id", "packed"), later).mapInArrow(_cut(self.window), "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string, spans binary")
+        clean = placed.where(F.col("packed").isNull() & mine).select("doc_id", "text_hash", "n_words", "n_removed", "kept_sha256", F.when(F.col("n_removed") > 0, "").alias("kept"), "spans")
         if keep:
             self.runs.append(fresh)
             known = docs.where("doc_id is not null")
@@ -381,4 +422,4 @@ class FingerprintIndex:
         runs = self.runs[0]
         for other in self.runs[1:]:
             runs = runs.union(other)
-        self.runs = [materialize(runs.repartition("h").sortWithinPartitions("h", F.desc("doc_id")), "run")]
+        self.runs = [materialize(runs.repartition("h").sortWithinPartitions("h", "check", F.desc("doc_id")), "run")]
