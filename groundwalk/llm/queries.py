@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licenses, media, packing, quality, tool_calls
+from . import decontaminate, html_text, licenses, lm, media, packing, quality, tool_calls
 from .near_dedup import near_duplicates
 from .substring_dedup import FingerprintIndex
 
@@ -29,6 +29,10 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = quality.classify(docs, quality.train(docs, labels), threshold=0.3)
@@ -63,6 +67,7 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_tool_calls": op1_chat_tool_calls,
     "op2_html_main_text": op2_html_main_text,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_lossless_webp": op5_lossless_webp,
     "op6_license_scan": op6_license_scan,
