@@ -35,8 +35,8 @@ ANSWERS = 400_000
 #: Answers travel by blocks of 2 ** BLOCK neighbouring document ids.
 BLOCK = 6
 _ANSWER = "block long, places binary, keys binary"
-#: Stands for a key where a document is a copy of a smaller one.
-COPY = -(2**63)
+#: Stands for a key where a document is a copy of a smaller one; anchors are even.
+COPY = 1
 
 
 def _anchors(words: Words, hashes: np.ndarray, window: int) -> np.ndarray:
@@ -122,7 +122,8 @@ def _runs(window: int):
 class _Answers:
     """(document, fingerprint) pairs, put out as one row for each block of neighbouring ids in a stretch."""
 
-    def __init__(self) -> None:
+    def __init__(self, kind: type) -> None:
+        self.kind = kind
         self.docs: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
         self.count = 0
@@ -133,13 +134,13 @@ class _Answers:
         self.count += len(docs)
 
     def take(self) -> pa.RecordBatch:
-        docs, keys = np.concatenate([np.zeros(0, np.int64), *self.docs]), np.concatenate([np.zeros(0, np.int64), *self.keys])
+        docs, keys = np.concatenate([np.zeros(0, np.int64), *self.docs]), np.concatenate([np.zeros(0, self.kind), *self.keys])
         order = np.argsort(docs, kind="stable")
         docs, keys = docs[order], keys[order]
         block, place = docs >> BLOCK, (docs & ((1 << BLOCK) - 1)).astype(np.uint8)
         at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(docs) else np.zeros(0, np.int64)
         to = np.append(at[1:], len(docs))[: len(at)]
-        self.__init__()
+        self.__init__(self.kind)
         spans = list(zip(at.tolist(), to.tolist(), strict=True))
         return pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array([place[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary())], ["block", "places", "keys"])
 
@@ -153,12 +154,17 @@ def _spread(docs: np.ndarray, keys: np.ndarray, more: list, to: _Answers) -> Non
             to.put(rest, np.full(len(rest), keys[i]))
 
 
+def _short(anchors: np.ndarray) -> np.ndarray:
+    """The low halves of anchors: enough to name those of one document, as what they select is verified."""
+    return (anchors & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+
+
 def _shared(new_from: int):
     """Merge of runs sorted by (h, check, doc_id descending). Of anchors, the holders of each that two documents hold,
     one of them new. Of whole texts, whose ids are negated, all new holders but the smallest, as copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers, held, known, top = _Answers(), None, None, None
+        answers, held, known, top = _Answers(np.int32), None, None, None
         # held: an entry that has had no second document yet; known: the key that has; top: first document of the last key.
         for batch in batches:
             if not len(batch):
@@ -179,11 +185,11 @@ def _shared(new_from: int):
             several = np.bincount(group, weights=two, minlength=len(firsts)) > 0
             odd = (h & 1) == 1
             index = np.flatnonzero(several[group] & ~odd & (firsts[group] >= new_from))
-            _spread(doc[index], h[index], [more[i] for i in index], answers)
+            _spread(doc[index], _short(h[index]), [more[i] for i in index], answers)
             for i in np.flatnonzero(several[group] & odd):
                 rest = -np.append(np.frombuffer(more[i] or b"", np.int64), doc[i])
                 rest = rest[(rest > -firsts[group[i]]) & (rest >= new_from)]
-                answers.put(rest, np.full(len(rest), COPY))
+                answers.put(rest, np.full(len(rest), COPY, np.int32))
             top = int(firsts[group[-1]])
             if several[group[-1]]:
                 known = (h[-1], check[-1])
@@ -200,7 +206,7 @@ def _later(new_from: int):
     """Merge of runs sorted by (w, check, doc_id): every new document that holds a window after the first document that does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers, last, first = _Answers(), None, None
+        answers, last, first = _Answers(np.int64), None, None
         for batch in batches:
             if not len(batch):
                 continue
@@ -227,10 +233,10 @@ def _later(new_from: int):
     return run
 
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes, np.ndarray]]:
+def _by_document(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[int | None, bytes, np.ndarray]]:
     """Of rows sorted by (block, kind), answers before texts: each document's id, its packed text and its keys."""
     now, places, keys, sorted_keys = None, [], [], None
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, kind)
     for batch in batches:
         for block, doc_id, packed, place, got in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "packed", "places", "keys")), strict=True):
             if now is None or block != now:
@@ -245,14 +251,14 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None
             if sorted_keys is None:
                 where = np.frombuffer(b"".join(places), np.uint8)
                 order = np.argsort(where, kind="stable")
-                sorted_keys = (where[order], np.frombuffer(b"".join(keys), np.int64)[order])
+                sorted_keys = (where[order], np.frombuffer(b"".join(keys), kind)[order])
             a, b = np.searchsorted(sorted_keys[0], [doc_id & ((1 << BLOCK) - 1), (doc_id & ((1 << BLOCK) - 1)) + 1])
             yield doc_id, packed, sorted_keys[1][a:b]
 
 
-def _groups(batches, rows: int = 200):
+def _groups(batches: Iterator[pa.RecordBatch], kind: type, rows: int = 200):
     some = []
-    for x in _by_document(batches):
+    for x in _by_document(batches, kind):
         some.append(x)
         if len(some) >= rows:
             yield some
@@ -275,7 +281,7 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that share no anchor, and copies, are finished; the others keep their text and their shared anchors."""
     unpack = zstandard.ZstdDecompressor().decompress
-    for some in _groups(batches):
+    for some in _groups(batches, np.int32):
         out: dict[str, list] = {"doc_id": [], "text_hash": [], "n_words": [], "n_removed": [], "kept_sha256": [], "spans": [], "packed": [], "keys": []}
         for doc, packed, keys in some:
             if not len(keys):
@@ -309,13 +315,13 @@ def _window_runs(window: int):
                 part = batch.slice(at, 256)
                 words = split(pa.array([unpack(x) for x in part.column("packed").to_pylist()], pa.binary()).cast(pa.string()))
                 hashes = words.hashes()
-                anchors = (_anchors(words, hashes, window) & ~U64(1)).view(np.int64)
+                anchors = _short((_anchors(words, hashes, window) & ~U64(1)).view(np.int64))
                 w, check = _prints(words, hashes, window)
                 ids = part.column("doc_id").to_numpy()
                 for d, keys in enumerate(part.column("keys").to_pylist()):
                     a, b = words.first[d], words.first[d + 1] - window + 1
                     if b > a:
-                        hit = np.flatnonzero(np.isin(anchors[a:b], np.frombuffer(keys, np.int64))) + a
+                        hit = np.flatnonzero(np.isin(anchors[a:b], np.frombuffer(keys, np.int32))) + a
                         ws.append(w[hit])
                         checks.append(check[hit])
                         docs.append(np.full(len(hit), ids[d]))
@@ -329,7 +335,7 @@ def _window_runs(window: int):
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for some in _groups(batches):
+        for some in _groups(batches, np.int64):
             out: dict[str, list] = {"doc_id": [], "text_hash": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "spans": []}
             for doc, packed, keys in some:
                 raw = unpack(packed)
