@@ -183,7 +183,7 @@ def decode_pixels(jobs: list[_Job]) -> tuple[list[np.ndarray], list[int]]:
     count = count[order]
     n = len(jobs)
     starts = np.cumsum([0] + [len(j.data) + 16 for j in jobs])[:-1]
-    data = np.zeros(int(starts[-1]) + len(jobs[-1].data) + 32, np.uint8)
+    data = np.zeros(int(starts[-1]) + len(jobs[-1].data) + 2048, np.uint8)  # 64 steps may run over before it is noticed
     for j, s in zip(jobs, starts.tolist(), strict=True):
         data[s : s + len(j.data)] = np.frombuffer(j.data, np.uint8)
     eight = np.ndarray((len(data) - 8,), dtype="<u8", buffer=data, strides=(1,))
@@ -234,6 +234,8 @@ def decode_pixels(jobs: list[_Job]) -> tuple[list[np.ndarray], list[int]]:
     all_plain = bool(plain_job.all())
     for t in range(int(count[0])):
         na = int(live[t])
+        if t & 63 == 63 and (pos > limit).any():
+            raise ValueError("a picture ends early")
         if all_plain and not copying:
             p = pos[:na]
             entry = table[green_base[:na] + ((eight[p >> 3] >> (p & 7).astype(_U)) & green_mask[:na]).astype(np.int64)]
