@@ -590,12 +590,15 @@ def _matches(pixels: np.ndarray, least: int = 12, most: int = 4096) -> list[tupl
     return out
 
 
-def _put_pixels(w: _Writer, pixels: np.ndarray, main: bool, cache: int = 0, repeats: bool = True) -> None:
+def _put_pixels(w: _Writer, pixels: np.ndarray, main: bool, cache: int = 0, repeats: bool = True, groups: tuple[int, np.ndarray] | None = None) -> None:
     w.put(int(cache > 0), 1)
     if cache:
         w.put(cache, 4)
     if main:
-        w.put(0, 1)  # one group of codes
+        w.put(int(groups is not None), 1)
+        if groups:  # all with the same codes
+            w.put(groups[0] - 2, 3)
+            _put_pixels(w, groups[1].astype(np.uint32) << np.uint32(8), False)
     flat = pixels.reshape(-1).astype(np.uint32)
     found = _matches(flat) if repeats else []
     literal = np.ones(len(flat), bool)
@@ -629,9 +632,10 @@ def _put_pixels(w: _Writer, pixels: np.ndarray, main: bool, cache: int = 0, repe
         count[0] = count[0] + np.bincount(256 + ls, minlength=size)
     count.append(np.bincount(ds, minlength=40))
     codes = []
-    for c in count:
-        bits = code_lengths(c)
+    lengths = [code_lengths(c) for c in count]
+    for bits in lengths * (int(groups[1].max()) + 1 if groups else 1):
         _put_code(w, bits)
+    for bits in lengths:
         code = np.zeros(len(bits), np.int64)
         used = np.flatnonzero(bits)
         if len(used) == 1 and used[0] >= 256:
@@ -661,9 +665,9 @@ def _put_pixels(w: _Writer, pixels: np.ndarray, main: bool, cache: int = 0, repe
     w.put_all(np.stack(values, 1)[order].reshape(-1), np.stack(sizes, 1)[order].reshape(-1))
 
 
-def encode(pixels: np.ndarray, transforms: tuple[tuple, ...] = (), cache: int = 0, repeats: bool = True) -> bytes:
+def encode(pixels: np.ndarray, transforms: tuple[tuple, ...] = (), cache: int = 0, repeats: bool = True, groups: tuple[int, np.ndarray] | None = None) -> bytes:
     """A VP8L stream of (height, width) ARGB. `transforms`, in the order of the stream: ("predictor", bits, modes),
-    ("cross", bits, factors), ("green",) or ("palette",)."""
+    ("cross", bits, factors), ("green",) or ("palette",). `groups`: block size as a power of two, and each block's number."""
     height, width = pixels.shape
     w = _Writer()
     w.put(0x2F, 8)
@@ -697,7 +701,7 @@ def encode(pixels: np.ndarray, transforms: tuple[tuple, ...] = (), cache: int =
             _put_pixels(w, side, False)
             now = (_undo_predictor if name == "predictor" else _undo_cross)(now, bits, side, forward=True)
     w.put(0, 1)
-    _put_pixels(w, now, True, cache, repeats)
+    _put_pixels(w, now, True, cache, repeats, groups)
     return w.bytes()
 
 
