@@ -7,11 +7,16 @@ order, and each distinct word is encoded once for each worker process.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
-#: Words whose ids a worker keeps; when full it starts anew, so memory has a bound.
-CACHE_WORDS = 400_000
+#: Words in each of a worker's two generations of cached ids. When the younger is full it becomes the older, whose
+#: words come back as they are met again, so memory has a bound and common words stay.
+CACHE_WORDS = 450_000
+#: ASCII punctuation that the tokenizer cuts off from letters and digits before it, as one piece.
+_TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_SOLID = frozenset(c for c in range(128) if chr(c).isalnum())
 
 
 class WordEncoder:
@@ -25,21 +30,63 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has ids of more than 16 bits")
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        """The tokenizer lower-cases; doing it here lets words share an entry. Not where a special token might arise."""
+        return (text if b"<|" in text else text.lower()).split()
+
+    def _learn(self, words: list[list[bytes]]) -> None:
         new = set().union(*words).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
             new = set().union(*words)
-        fresh = list(new)
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.cache.update(zip(part, (np.array(e.ids, np.uint16).tobytes() for e in got), strict=True))
+        fresh, halves = set(), []
+        for w in new:
+            known = self.older.get(w)
+            if known is not None:
+                self.cache[w] = known
+                continue
+            stem = w.rstrip(_TAIL)
+            if len(stem) in (0, len(w)) or stem[-1] not in _SOLID or b"<|" in w:
+                fresh.add(w)
+                continue
+            tail = w[len(stem) :]
+            halves.append((w, stem, tail))
+            for part in (stem, tail):
+                if part not in self.cache:
+                    known = self.older.get(part)
+                    if known is None:
+                        fresh.add(part)
+                    else:
+                        self.cache[part] = known
+        todo = list(fresh)
+        for at in range(0, len(todo), 20_000):
+            part = todo[at : at + 20_000]
+            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self.cache.update(zip(part, [array("H", e.ids).tobytes() for e in got], strict=True))
+        for w, stem, tail in halves:
+            self.cache[w] = self.cache[stem] + self.cache[tail]
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        words = [self.words(t) for t in texts]
+        self._learn(words)
         find = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(find, w)), np.uint16) for w in words]
 
+    def ids_and_lengths(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """ids(), and how many of them each word has, text by text."""
+        words = [self.words(t) for t in texts]
+        self._learn(words)
+        find = self.cache.__getitem__
+        ids, lengths = [], []
+        for w in words:
+            own = list(map(find, w))
+            ids.append(np.frombuffer(b"".join(own), np.uint16))
+            lengths += map(len, own)
+        return ids, np.array(lengths, np.int64) // 2
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
