@@ -264,6 +264,51 @@ def test_neighbours_share_words():
     assert index.neighbours(0, np.array([False, True, True, True])).tolist() == [2, 3]
 
 
+def bm25(texts):
+    """Scores of all pairs of documents, from the words of the one in the other."""
+    own = [Counter(words(t.lower())) for t in texts]
+    mean = sum(x.total() for x in own) / len(own)
+    df = Counter(w for x in own for w in x)
+    idf = {w: np.log1p((len(own) - n + 0.5) / (n + 0.5)) if n > 1 else 0 for w, n in df.items()}
+    norm = [1.2 * (0.25 + 0.75 * x.total() / mean) for x in own]
+    return np.array([[sum(idf[w] * d[w] * 2.2 / (d[w] + n) for w in q if w in d) for d, n in zip(own, norm, strict=True)] for q in own])
+
+
+def test_packing_searches_every_shard(spark):
+    """Over many shards, each window goes on with the unused document that brute force over the whole table finds."""
+    texts = [prose(1000 + i, 40 + i % 9) for i in range(60)]
+    truth = bm25(texts)
+    pieces = packing.pack(table(spark, list(enumerate(texts))), TOKENIZER, window=1024, shard_bytes=1_000).collect()
+    check_packing(pieces, dict(enumerate(texts)), 1024)
+    assert sum(x.length for x in pieces) < 1024 * packing.ROUNDS  # one chain: windows one after the other
+    used, compared = set(), 0
+    sequences = {}
+    for x in sorted(pieces, key=lambda x: (x.sequence_id, x.offset)):
+        sequences.setdefault(x.sequence_id, []).append(x)
+    for own in sequences.values():
+        if sum(x.length for x in own) < 1024:
+            break
+        seed = own[0].doc_id
+        used.add(seed)
+        for x in own[1:]:
+            free = [d for d in range(60) if d not in used]
+            assert truth[seed][x.doc_id] > truth[seed][free].max() - 2 / packing.STEPS
+            used.add(x.doc_id)
+            compared += 1
+    assert compared > 20
+
+
+def test_neighbours_are_those_of_brute_force():
+    """Of more than 24 words, ranked by all of them."""
+    texts = [prose(i, 30 + 5 * i, size=90) for i in range(100)]
+    truth, index = bm25(texts), packing.Index(pa.array(texts))
+    for seed in (0, 20, 99):
+        free = np.arange(100) != seed
+        order = index.neighbours(seed, free)
+        assert len(order) == ((truth[seed] > 0) & free).sum()
+        assert (np.diff(truth[seed][order]) < 2 / packing.STEPS).all()
+
+
 def test_word_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
