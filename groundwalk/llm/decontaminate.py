@@ -1,9 +1,10 @@
 """Benchmark decontamination in DataFrame functions only: SimHash of item-sized windows, exact verification.
 
 A window has as many words as the benchmark item it is held against. Any window that has something in common
-with an item holds one of the item's five-word shingles, so windows are taken at every alignment that a shared
-shingle proposes, and nowhere else; this loses no pair of positive similarity at its best alignment and spares
-a fingerprint per word of the corpus. A window's 64-bit SimHash is cut into RADIUS + 1 blocks: two fingerprints
+with an item holds one of the item's five-word shingles. Shared shingles less than an item length apart make a group; a
+window before the group's smallest alignment with the item, or behind its largest, shares no more than the one there
+does, so every window from the one to the other is looked at, less those that hold too few shared shingles to reach the
+threshold whatever their counts. This loses no pair and spares a fingerprint per word of the corpus. A window's 64-bit SimHash is cut into RADIUS + 1 blocks: two fingerprints
 within RADIUS bits agree on a block, so an equi-join on (words, block, value) finds all of them. Pairs at
 similarity 0.8 lie about 10 bits apart with a deviation under 3, RADIUS is 20. Candidates are verified by the exact
 similarity of their weighted shingles: sum of the smaller counts over sum of the larger counts.
@@ -11,7 +12,7 @@ similarity of their weighted shingles: sum of the smaller counts over sum of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize
@@ -62,10 +63,27 @@ def _similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _starts(hits: DataFrame, by: tuple[str, ...], k: int, threshold: float) -> DataFrame:
+    """(*by, row, n, start, aligned): windows that can reach the threshold, of hits (*by, row, which, n, size, p, start), where
+    `start` is the window that puts the shared shingle at p in its item's place."""
+    own = [*by, "row", "which", "n", "size"]
+    apart = F.col("p") - F.lag("p").over(Window.partitionBy(*own).orderBy("p", "start")) >= F.col("n")
+    group = F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(Window.partitionBy(*own).orderBy("p", "start"))
+    groups = hits.withColumn("part", group).groupBy(*own, "part").agg(F.min("start").alias("first"), F.max("start").alias("last"), F.collect_set("p").alias("held"), F.collect_set("start").alias("at"))
+    inside = lambda s: F.greatest(F.lit(0), F.least(s, F.col("size") - F.col("n")))
+    starts = groups.withColumn("start", F.explode(F.array_distinct(F.transform(F.sequence("first", "last"), inside))))
+    shingles = F.least("n", "size") - k + 1
+    shared = F.size(F.filter("held", lambda p: (p >= F.col("start")) & (p < F.col("start") + shingles)))
+    reach = shared * (1 + threshold) >= threshold * (shingles + F.col("n") - k + 1) - 1e-6
+    aligned = F.array_contains(F.transform("at", inside), F.col("start"))
+    return starts.where((shared > 0) & reach).groupBy(*by, "row", "n", "start").agg(F.max(aligned).alias("aligned"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity) of each document and item of which a window reaches the threshold.
 
-    `start` is the first word of the best window, the earliest among equals; n_words is its length: the item's, or
+    `start` is the first word of the best window; among equals those at an alignment of a shared shingle come first, then
+    the earliest. n_words is its length: the item's, or
     the document's if that is shorter. An item of fewer than five words is one shingle of all its words. Null or
     blank texts match nothing; rows with equal doc_id count as one document; a null doc_id is kept as such. Rows
     that repeat an item_id with other words are windows of their own, of which the best counts. `by` names the
@@ -76,31 +94,37 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, by:
     facts = bench.where("k > 0").groupBy("k").agg(F.sum(F.col("n") - F.col("k") + 1).alias("shingles")).collect()  # five rows at most
     small = sum(r["shingles"] for r in facts) <= BROADCAST_SHINGLES
     hint = F.broadcast if small else (lambda df: df)
-    rows = docs.select(*by, words_of(F.col("text")).alias("words"))
+    texts = docs.select(*by, F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
+    rows = texts.select(*by, "row", words_of(F.col("text")).alias("words"))
 
     found = None
     for k in sorted(r["k"] for r in facts):
         # Each step is written, or Catalyst would move copies of its costly expressions into filters below joins.
         own = materialize(bench.where(F.col("k") == k).withColumn("hashes", _shingles(F.col("item"), k)), "shingles")
-        keys = own.select("item_id", "n", F.posexplode("hashes").alias("q", "h")).select("n", "q", "h").distinct()
-        at = rows.select(*by, "words", F.explode(F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))).alias("p"))
+        keys = own.select(F.xxhash64("item").alias("which"), "n", F.posexplode("hashes").alias("q", "h")).distinct()
+        at = rows.select(*by, "row", "words", F.explode(F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))).alias("p"))
         hits = at.withColumn("h", _hash(F.col("words"), F.col("p"), k)).join(hint(keys), "h")
-        hits = hits.withColumn("start", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("words") - F.col("n"))))
-        windows = hits.select(*by, "start", "n", F.slice("words", F.col("start") + 1, F.col("n")).alias("window")).distinct()
+        hits = materialize(hits.select(*by, "row", "which", "n", F.size("words").alias("size"), "p", (F.col("p") - F.col("q")).alias("start")).distinct(), "hits")
+        starts = materialize(_starts(hits, by, k, threshold), "starts")
+        there = starts.select(*[F.col(c).alias(f"_{c}") for c in by], "row", "n", "start", "aligned")
+        met = texts.join(there, [texts["row"] == there["row"], *[texts[c].eqNullSafe(there[f"_{c}"]) for c in by]])
+        met = met.select(*by, "n", "start", "aligned", words_of(F.col("text")).alias("words"))
+        windows = met.select(*by, "start", "aligned", "n", F.slice("words", F.col("start") + 1, F.col("n")).alias("window"))
+        windows = windows.groupBy(*by, "start", "n", "window").agg(F.max("aligned").alias("aligned"))
         windows = materialize(windows.repartition(*by, "start"), "windows")
-        windows = windows.select(*by, "start", "n", F.size("window").alias("n_words"), _shingles(F.col("window"), k).alias("own"))
+        windows = windows.select(*by, "start", "aligned", "n", F.size("window").alias("n_words"), _shingles(F.col("window"), k).alias("own"))
         windows = materialize(windows.withColumn("print", simhash(F.col("own"))), "prints")
         prints = materialize(own.select("item_id", "n", "hashes", simhash(F.col("hashes")).alias("item_print")), "prints")
-        left = windows.select(*by, "start", "n", "n_words", "own", "print", F.inline(_blocks(F.col("print"))))
+        left = windows.select(*by, "start", "aligned", "n", "n_words", "own", "print", F.inline(_blocks(F.col("print"))))
         right = prints.select("item_id", "n", "hashes", "item_print", F.inline(_blocks(F.col("item_print"))))
         near = left.join(hint(right), ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-        near = near.select(*by, "item_id", "start", "n_words", "own", "hashes").distinct()
-        scored = near.select(*by, "item_id", "start", "n_words", _similarity(F.col("own"), F.col("hashes")).alias("similarity"))
+        near = near.select(*by, "item_id", "start", "aligned", "n_words", "own", "hashes").distinct()
+        scored = near.select(*by, "item_id", "start", "aligned", "n_words", _similarity(F.col("own"), F.col("hashes")).alias("similarity"))
         found = scored if found is None else found.union(scored)
     if found is None:
-        found = docs.crossJoin(items).limit(0).select(*by, "item_id", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
+        found = docs.crossJoin(items).limit(0).select(*by, "item_id", F.lit(0).alias("start"), F.lit(True).alias("aligned"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
     found = materialize(found, "scored").where(F.col("similarity") >= threshold)
-    best = found.groupBy(*by, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("early"), "n_words")).alias("b"))
+    best = found.groupBy(*by, "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("early"), "n_words")).alias("b"))
     return best.select(*by, "item_id", (-F.col("b.early")).cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), F.round("b.similarity", 6).alias("similarity"))
 
 
