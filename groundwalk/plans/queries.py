@@ -232,6 +232,13 @@ def bin_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(first.alias("first"), (first + 64).alias("past"), "src", "dst")
 
 
+@_register("bin_route_all", f"WITH {_E}, b AS (SELECT i * 64 AS first, (i + 1) * 64 AS past FROM (SELECT unnest(range(0, (SELECT max(dst) // 64 + 1 FROM e))) AS i)) SELECT first, past, src, dst FROM e JOIN b ON dst >= first AND dst < past")
+def bin_route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge with the range of its destination."""
+    first = F.floor(F.col("dst") / 64) * 64
+    return GRAPHS[_PARTS](spark, sf_dir).select(first.alias("first"), (first + 64).alias("past"), "src", "dst")
+
+
 # ---- one step -----------------------------------------------------------------------------------------------
 
 _OD = "vx AS (SELECT src v FROM e UNION SELECT dst FROM e), od AS (SELECT v, coalesce(c,0)+1 AS d FROM vx LEFT JOIN (SELECT src, count(*) c FROM e GROUP BY src) o ON o.src=vx.v)"
