@@ -6,11 +6,17 @@ added in the order of these ids.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .graph import Graph, build_graph
-from .rank import MAX_ITERATIONS, TOLERANCE, RankResult, check_limits, packed
+from .rank import MAX_ITERATIONS, PACKED_EDGES, TOLERANCE, RankResult, check_limits, first_state, packed
+
+#: Vertices whose values are added at once where a run is distributed.
+CHUNK = 1 << 16
 
 
 def dense_ids(ordered: DataFrame, *place: str) -> DataFrame:
@@ -50,13 +56,14 @@ def relabel(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def exact_rank(ordered: DataFrame, *place: str, tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS) -> RankResult:
-    """Ranks of rows (src, dst, *place), equal to the last bit for any partitioning."""
+    """Ranks of rows (src, dst, *place), equal to the last bit for any partitioning. Up to PACKED_EDGES edges, repeats
+    counted, one task iterates; more are distributed, with the same sums in the same order."""
     check_limits(tolerance, max_iterations)
     ids = dense_ids(ordered, *place).persist()
     graph: Graph = build_graph(relabel(ordered, ids))
     if graph.n == 0:
         return RankResult(ordered.sparkSession.createDataFrame([], "vertex long, rank double"), 0, True)
-    found = packed(graph, tolerance, max_iterations, serial=True)
+    found = packed(graph, tolerance, max_iterations, serial=True) if graph.m <= PACKED_EDGES else distributed(graph, tolerance, max_iterations)
     ranks = found.ranks.join(ids, F.col("vertex") == F.col("dense")).select(F.col("v").cast("long").alias("vertex"), "rank")
     return RankResult(ranks, found.iterations, found.converged, found.trace)
 
@@ -66,3 +73,36 @@ def ordered_gather(edges: DataFrame, contributions: DataFrame, base: float) -> D
     met = edges.join(contributions.select(F.col("v").alias("src"), "c"), "src")
     terms = F.array_sort(F.flatten(F.collect_list(F.array_repeat(F.struct("src", "c"), F.col("mult").cast("int")))))
     return met.groupBy(F.col("dst").alias("v")).agg(F.aggregate(terms, F.lit(base), lambda acc, x: acc + x["c"]).alias("s"))
+
+
+def ordered_sum(values: DataFrame, start: float | None = None) -> float:
+    """Sum of rows (v, x) one by one in the order of v, after `start`. Chunks of CHUNK rows pass through the driver in turn."""
+
+    def chunk(table: pa.Table) -> pa.Table:
+        own = table.sort_by("v")
+        return pa.table([own.column("chunk").slice(0, 1), pa.array([own.column("x").to_numpy().tobytes()], pa.binary())], names=["chunk", "x"])
+
+    chunks = values.select("v", "x", F.floor(F.col("v") / CHUNK).cast("long").alias("chunk")).groupBy("chunk").applyInArrow(chunk, "chunk long, x binary")
+    for row in materialize(chunks, "chunks").orderBy("chunk").toLocalIterator():
+        x = np.frombuffer(row["x"])
+        start = float(np.cumsum(x if start is None else np.concatenate([[start], x]))[-1])
+    return start or 0.0
+
+
+def distributed(graph: Graph, tolerance: float, max_iterations: int) -> RankResult:
+    """The loop of `packed` with serial sums, to the last bit, for any number of edges."""
+    state, ground, trace, converged = materialize(first_state(graph).select("v", "out_degree", "s", "c"), "state"), 0.0, [], False
+    for k in range(1, max_iterations + 1):
+        base = ground / graph.n
+        gained = ordered_sum(state.select("v", F.col("c").alias("x")))
+        brought = ordered_gather(graph.edges, state.select("v", "c"), base)
+        new = state.select("v", "out_degree", F.col("s").alias("p")).join(brought, "v", "left").select("v", "out_degree", "p", F.coalesce("s", F.lit(base)).alias("s"))
+        state = materialize(new.withColumn("c", F.col("s") / (F.col("out_degree") + 1)), "state")
+        delta = ordered_sum(state.select("v", F.abs(F.col("s") - F.col("p")).alias("x")), abs(gained - ground))
+        ground = gained
+        trace.append((k, delta))
+        if delta < tolerance * graph.n:
+            converged = True
+            break
+    ranks = state.select(F.col("v").alias("vertex"), (F.col("s") + F.lit(ground / graph.n)).alias("rank"))
+    return RankResult(ranks, len(trace), converged, trace)

@@ -8,7 +8,7 @@ of vertices; then the ground's score is shared out.
 Engines: `parallel` and `common` run the same formula; `dense` iterates an explicit transition table with the ground
 as a vertex and shares no code with them. How `parallel` runs depends on sizes that are counted first:
 
-* packed: at most PACKED_EDGES distinct edges. One task holds the graph in arrays; a loop of jobs would spend its time on
+* packed: at most PACKED_EDGES distinct edges; `common` runs like this up to there, then like `parallel`. One task holds the graph in arrays; a loop of jobs would spend its time on
   scheduling.
 * pull: at most BROADCAST_VERTICES vertices. Edges stay where they are, partitioned by destination; the contributions are
   broadcast, their size is known. No edge moves after the build.
@@ -63,7 +63,7 @@ def rank(graph: Graph, engine: str = "parallel", tolerance: float = TOLERANCE, m
         return _dense(graph, tolerance, max_iterations)
     if strategy == "auto":
         strategy = "packed" if graph.distinct <= PACKED_EDGES else "pull" if graph.n <= BROADCAST_VERTICES else "shuffle"
-    if engine == "common" or strategy == "packed":
+    if strategy == "packed" or (engine == "common" and graph.distinct <= PACKED_EDGES):
         if graph.distinct > PACKED_EDGES:
             raise ValueError(f"a packed run takes at most {PACKED_EDGES} distinct edges")
         return packed(graph, tolerance, max_iterations)
