@@ -265,7 +265,9 @@ def _build(total: int, mean: float):
         doc = np.repeat(np.arange(len(own)), [len(x) // 8 for x in own])
         h, df = terms.column("h").to_numpy().view(np.uint64), terms.column("df").to_numpy()
         order = np.argsort(h)
-        df = df[order][np.searchsorted(h[order], names)] if len(names) else np.zeros(0, np.int64)
+        h, df = h[order], df[order]
+        at = np.minimum(np.searchsorted(h, names), max(len(h) - 1, 0))
+        df = np.where(h[at] == names, df[at], 1) if len(h) else np.ones(len(names), np.int64)
         made = weigh(names, doc, tf, df, rows.column("count").to_numpy(), total, mean)
         columns = [rows.column("n").to_numpy().astype(np.int32), *made]
         return pa.table([pa.array([rows.column("shard")[0].as_py()], pa.int32()), *[pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns]], names=[x.split()[0] for x in _INDEX.split(", ")])
@@ -309,11 +311,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_bytes: int
     dealt = materialize(rows.groupBy("shard").applyInArrow(_deal(tokenizer), _DEALT), "dealt")
 
     facts = dealt.agg(F.count("*"), F.avg("count")).first()
-    own = materialize(dealt.select("shard", "terms").mapInArrow(_terms, "shard int, h long, c long"), "terms")
-    df = own.groupBy("h").agg(F.sum("c").alias("df"))
-    known = own.select("shard", "h").distinct().join(df, "h")
+    own = dealt.select("shard", "terms").mapInArrow(_terms, "shard int, h long, c long")
+    # Words of one document find no other; most words are such, and stay behind.
+    df = own.groupBy("h").agg(F.sum("c").alias("df"), F.collect_set("shard").alias("shards")).where("df > 1")
+    known = df.select(F.explode("shards").alias("shard"), "h", "df")
     index = dealt.select("key", "shard", "n", "count", "terms", "tf").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_build(facts[0], facts[1] or 0.0), _INDEX)
-    index = materialize(index.repartition(max(1, min(shards, 2 * spark.sparkContext.defaultParallelism)), "shard"), "index")
+    index = materialize(index, "index")
 
     lengths = dealt.select("key", "n").toArrow().sort_by("key")
     key = lengths.column("key").to_numpy()

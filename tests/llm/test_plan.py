@@ -1,0 +1,27 @@
+"""Windows whose neighbours run out."""
+
+import numpy as np
+import pyarrow as pa
+
+from groundwalk.llm import packing
+
+
+def test_the_continuing_document_queries_again():
+    plan = packing.Plan(np.full(8, 10), 64)
+    (chain,) = plan.open()
+    assert plan.chains[chain][2] == 0
+    plan.fill(chain, np.array([5]))  # all that shares a word with 0, too little for the window
+    assert plan.chains[chain] == ([(0, 0, 10), (5, 0, 10), (1, 0, 10)], 30, 1)
+    plan.fill(chain, np.zeros(0, np.int64))
+    assert plan.chains[chain][2] == 2
+
+
+def test_all_words_of_a_long_seed_count():
+    """The neighbour shares the seed's commonest words only: not among its 24 rarest."""
+    rare = [f"r{i}" for i in range(40)]
+    seed = " ".join(rare + ["a", "b", "c"])
+    texts = [seed, *rare, *rare, "a b c", "a b c d", "a x", "b y", "c z"]
+    index = packing.Index(pa.array(texts))
+    found = index.neighbours(0, np.arange(len(texts)) != 0)
+    assert texts.index("a b c") in found.tolist()
+    assert found.tolist().index(texts.index("a b c")) == 0
