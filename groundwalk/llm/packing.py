@@ -1,354 +1,268 @@
-"""Packing of documents into training sequences by lexical retrieval over the whole table.
-
-Documents are dealt over shards of bounded size by a hash, so that an index fits a task. Document frequencies, the
-number of documents and their mean length are counted over all of them, and every query runs over every shard's
-postings; the shards' best neighbours are merged, so that a seed finds the best unused ones wherever they lie. Windows are
-filled side by side by chains, a round of queries for a window of each: a chain's seed opens its window, and the
-neighbours that score best fill it greedily. The document that overflows is cut, and its rest seeds the chain's next
-window, so every window is full. Where nothing unused shares a word with the seed, the next unused document
-continues the window and queries the index itself. What the chains leave at the end is laid end to end; the last of it,
-less than one window, is cut into sequences whose lengths are powers of two and need no padding.
+"""Packing of documents into training sequences by lexical retrieval.
+
+Terms are the tokenizer's ids, so document frequencies, the number of documents and their mean length are counted over the
+whole table and still have a proven size. The inverted index is sharded by content: a document's key holds, for each of
+KEYS orders of the terms, the first of its terms in that order, where a term comes early in proportion to its idf. Documents
+that share rare terms get equal keys by as much as they share, the table is range-partitioned and sorted by key, and
+each SHARD_IDS ids in that order make a shard. A key that very many documents have is spread over as many shards as they
+fill, by a hash of the row behind the key.
+
+Within a shard BM25 ranks the unused documents for each seed, and the best of them fill its window greedily. The
+document that overflows is cut, and its rest opens the next window and seeds it, so every window is full. A window still
+open at the end of a shard goes on in the next one. What a partition leaves at its end, less than one window, is cut
+into sequences whose lengths are powers of two and need no padding.
 """
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, shared_dir
+from .scratch import materialize
 from .tokens import encoder
-from .words import split
+from .words import U64, mix, slices
 
 WINDOW, END = 4096, 2
-#: Bytes of text in a shard, about; a shard's index is in a task's memory at once.
-SHARD_BYTES = 4 << 20
-#: Rounds in which chains fill all windows, about, and chains at most: their queries are broadcast.
-ROUNDS, CHAINS = 16, 4096
-#: Queries that are scored at once, and neighbours of each that are sorted first.
-TOGETHER, TOP = 256, 64
-#: Scores are compared in steps of 1 / STEPS, so that rounding doesn't order equals.
-STEPS = 1024
+#: Ids of a shard, whose index a task holds as a matrix; a longer document is a shard of its own.
+SHARD_IDS, SHARD_DOCS = 1 << 19, 1 << 12
+#: Ids of a partition, about.
+PART_IDS = 1 << 23
+TERMS, KEYS = 1 << 16, 3
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_DEALT = "key long, shard int, doc_id long, n int, ids binary, count int, terms binary, tf binary"
-_INDEX = "shard int, length binary, names binary, ends binary, doc binary, weight binary"
 
 
-def postings(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each document, hash, document, count of each pair) in the order of documents."""
-    words = split(text, lower=True)
-    count = np.diff(words.first)
-    doc = np.repeat(np.arange(len(count)), count)
-    names, term = np.unique(words.hashes(), return_inverse=True)
-    pairs, tf = np.unique(doc * max(len(names), 1) + term, return_counts=True)
-    doc, term = np.divmod(pairs, max(len(names), 1))
-    return count, names[term], doc, tf
+def _tokenise(tokenizer: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        for batch in batches:
+            for part in slices(batch, limit=4 << 20):
+                coded = encode.code(part.column("text"))
+                ends = np.concatenate([[0], coded.ends])
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(coded.ids)])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "tie", "row")], pa.array(np.diff(ends)), raw], ["doc_id", "tie", "row", "n", "ids"])
 
+    return run
 
-def best(q: np.ndarray, score: np.ndarray, doc: np.ndarray, length: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """Places of each query's neighbours, best first and equals by document, until their lengths make what it wants."""
-    order = np.lexsort((doc, -score, q))
-    own = length[order].astype(np.int64)
-    before = np.cumsum(own) - own
-    first = np.searchsorted(q[order], q[order])
-    return order[before - before[first] < want[q[order]]] if len(order) else order
 
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of packed ids, and where each row's start, with the end of the last."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    ids = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]].view("<u2") if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint16)
+    return ids, (offsets - offsets[0]) // 2
 
-class Index:
-    """BM25 over the documents of one shard; `df`, `total` and `mean` are those of the whole table."""
-
-    def __init__(self, text: pa.Array) -> None:
-        """Of a table that is one shard."""
-        count, names, doc, tf = postings(text)
-        self.own = [names[a:b] for a, b in zip(*(np.searchsorted(doc, np.arange(len(count)) + k) for k in (0, 1)), strict=True)]
-        _, at, df = np.unique(names, return_inverse=True, return_counts=True)
-        self._set(*weigh(names, doc, tf, df[at], count, len(count), count.mean() if len(count) else 0.0), len(count))
-
-    @classmethod
-    def load(cls, row: dict) -> Index:
-        index = cls.__new__(cls)
-        read = lambda name, kind: np.frombuffer(row[name], kind)
-        index._set(read("names", np.uint64), read("ends", np.int64), read("doc", np.int32), read("weight", np.float32), len(row["length"]) // 4)
-        return index
-
-    def _set(self, names: np.ndarray, ends: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs: int) -> None:
-        self.names, self.ends, self.doc, self.weight, self.docs = names, ends, doc, weight, docs
-        self.size = np.diff(ends, prepend=0)
-        # Words of many documents are scored as a product of matrices.
-        common = self.size * 16 >= docs
-        self.column = np.where(common, np.cumsum(common) - 1, -1)
-        self.dense = np.zeros((int(common.sum()), docs), np.float32)
-        at = np.repeat(self.column, self.size)
-        self.dense[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
-
-    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
-        """(queries, documents) in STEPS; a query is all the words of a document."""
-        q = np.repeat(np.arange(len(queries)), [len(x) for x in queries])
-        h = np.concatenate([*queries, np.zeros(0, np.uint64)])
-        place = np.minimum(np.searchsorted(self.names, h), max(len(self.names) - 1, 0))
-        met = self.names[place] == h if len(self.names) else np.zeros(len(h), bool)
-        q, place = q[met], place[met]
-        column = self.column[place]
-        asked = np.zeros((len(queries), len(self.dense)), np.float32)
-        asked[q[column >= 0], column[column >= 0]] = 1
-        q, place = q[column < 0], place[column < 0]
-        size = self.size[place]
-        at = np.repeat(self.ends[place] - np.cumsum(size), size) + np.arange(int(size.sum()))
-        rare = np.bincount(np.repeat(q, size) * self.docs + self.doc[at], weights=self.weight[at], minlength=len(queries) * self.docs)
-        return np.rint((asked @ self.dense + rare.reshape(len(queries), self.docs)) * STEPS).astype(np.int64)
-
-    def search(self, queries: list[np.ndarray], want: np.ndarray, free: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, document, score) of free documents that share a word with a query, as `best` picks them."""
-        found: list[tuple[np.ndarray, ...]] = []
-        unused = np.flatnonzero(free)
-        if not len(unused):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for a in range(0, len(queries), TOGETHER):
-            score = self.scores(queries[a : a + TOGETHER])[:, unused]
-            rows = np.arange(len(score))
-            if len(unused) > TOP:
-                # Equals in their order; then all of a row if its first TOP don't make what it wants.
-                ordered = score * len(unused) - np.arange(len(unused))
-                top = np.argpartition(-ordered, TOP, axis=1)[:, :TOP]
-                short = (length[unused][top] * (np.take_along_axis(score, top, 1) > 0)).sum(axis=1) < want[a : a + TOGETHER]
-                short &= np.take_along_axis(score, top, 1).min(axis=1) > 0
-                parts = [(np.repeat(rows[~short], TOP), top[~short].ravel()), (np.repeat(rows[short], len(unused)), np.tile(np.arange(len(unused)), int(short.sum())))]
-            else:
-                parts = [(np.repeat(rows, len(unused)), np.tile(np.arange(len(unused)), len(rows)))]
-            for q, d in parts:
-                s = score[q, d]
-                q, d, s = q[s > 0], unused[d[s > 0]], s[s > 0]
-                pick = best(q + a, s, d, length[d], want)
-                found.append((q[pick] + a, d[pick], s[pick]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """Documents that are free and share a word with the seed, best first, equals in their order."""
-        return self.search([self.own[seed]], np.array([self.docs + 1]), free, np.ones(self.docs, np.int64))[1]
-
-
-def weigh(names: np.ndarray, doc: np.ndarray, tf: np.ndarray, df: np.ndarray, count: np.ndarray, total: int, mean: float) -> tuple[np.ndarray, ...]:
-    """(words, ends of their postings, documents, weights) of words that more than one document of the table has."""
-    useful = df > 1  # a word of one document finds no other
-    names, doc, tf, df = names[useful], doc[useful], tf[useful], df[useful]
-    norm = K1 * (1 - B + B * count / max(mean, 1e-9))
-    weight = np.log1p((total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm[doc])
-    order = np.lexsort((doc, names))
-    own, size = np.unique(names, return_counts=True)
-    return own, np.cumsum(size).astype(np.int64), doc[order].astype(np.int32), weight[order].astype(np.float32)
 
+def postings(ids: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of each pair, in this order; at most 65,536 documents."""
+    doc = np.repeat(np.arange(len(edge) - 1, dtype=np.uint32), np.diff(edge))
+    keys = np.sort(doc << np.uint32(16) | ids)
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return (keys[new] >> np.uint32(16)).astype(np.int64), (keys[new] & np.uint32(0xFFFF)).astype(np.int64), np.diff(np.append(new, len(keys)))
 
-class Plan:
-    """Pieces of documents in sequences: every id is in exactly one. Documents are numbered; `free` are not yet used."""
-
-    def __init__(self, length: np.ndarray, window: int) -> None:
-        self.length, self.window, self.free = length, window, np.ones(len(length), bool)
-        self.cursor = self.sequence = 0
-        self.done: list[tuple[int, int, int, int, int]] = []  # (document, start, length, sequence, offset)
-        # A chain: the pieces of its open window, how far that is filled, and the document that queries for it.
-        self.chains: list[tuple[list[tuple[int, int, int]], int, int]] = []
-        for _ in range(max(1, min(CHAINS, -(-int(length.sum()) // (window * ROUNDS))))):
-            if (doc := self.next_free()) is not None:
-                self.chains.append(self.put(([], 0, doc), doc, seeds=True))
-
-    def next_free(self) -> int | None:
-        ahead = self.free[self.cursor :]
-        self.cursor += int(ahead.argmax()) if len(ahead) and ahead.any() else len(ahead)
-        return self.cursor if self.cursor < len(self.free) else None
-
-    def put(self, chain: tuple, doc: int, seeds: bool = False) -> tuple:
-        """The chain after a document; what is left of it when a window is full seeds the next one."""
-        pieces, filled, query = chain
-        self.free[doc] = False
-        start, query = 0, doc if seeds or not filled else query
-        while start < self.length[doc]:
-            size = int(min(self.length[doc] - start, self.window - filled))
-            pieces.append((doc, start, size))
-            start, filled = start + size, filled + size
-            if filled == self.window:
-                self.close(pieces)
-                pieces, filled, query = [], 0, doc
-        return pieces, filled, query
-
-    def close(self, pieces: list[tuple[int, int, int]]) -> None:
-        offset = 0
-        for doc, start, size in pieces:
-            self.done.append((doc, start, size, self.sequence, offset))
-            offset += size
-        self.sequence += 1
-
-    def open(self) -> list[int]:
-        """Chains that need neighbours; one without a seed gets the next unused document first."""
-        for k, chain in enumerate(self.chains):
-            while not self.chains[k][1] and (doc := self.next_free()) is not None:
-                self.chains[k] = self.put(chain, doc, seeds=True)
-        return [k for k, chain in enumerate(self.chains) if chain[1]] if self.free.any() else []
-
-    def wants(self, k: int) -> int:
-        """Ids that a chain asks for: twice what its window takes, as other chains may be given the same documents."""
-        return 2 * (self.window - self.chains[k][1])
-
-    def fill(self, k: int, neighbours: np.ndarray) -> None:
-        """Goes on with the neighbours until the window is full. If these are all, the next unused one queries for the rest."""
-        full, want = self.sequence, self.wants(k)
-        for doc in neighbours.tolist():
-            if self.free[doc]:
-                self.chains[k] = self.put(self.chains[k], doc)
-                if self.sequence != full:
-                    return
-        if self.length[neighbours].sum() < want and (doc := self.next_free()) is not None:
-            self.chains[k] = self.put(self.chains[k], doc, seeds=True)
 
-    def finish(self) -> None:
-        """Open windows end to end; the last one is dealt over powers of two."""
-        left = [p for pieces, _, _ in self.chains for p in pieces]
-        filled = sum(p[2] for p in left)
-        rooms = [self.window] * (filled // self.window) + [1 << b for b in range(self.window.bit_length() - 2, -1, -1) if filled % self.window & (1 << b)]
-        left.reverse()
-        for room in rooms:
-            pieces = []
-            while room:
-                doc, start, size = left.pop()
-                part = min(size, room)
-                pieces.append((doc, start, part))
-                room -= part
-                if part < size:
-                    left.append((doc, start + part, size - part))
-            self.close(pieces)
-
-    def taken(self) -> pa.Table:
-        """The pieces since the last call."""
-        columns = np.array(self.done, np.int64).reshape(-1, 5).T
-        self.done = []
-        return pa.table([pa.array(c) for c in columns], names=["number", "start", "length", "sequence_id", "offset"])
-
-
-def _deal(tokenizer: str):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        shard = table.column("shard")[0].as_py()
-        encode = encoder(tokenizer)
-        text = table.column("text").combine_chunks()
-        ids: list[bytes] = []
-        for at in range(0, len(text), 512):
-            ids += [np.append(x.astype("<u4"), np.uint32(END)).astype("<u4").tobytes() for x in encode.ids([t.encode() for t in text.slice(at, 512).to_pylist()])]
-        count, names, doc, tf = postings(text)
-        edge = np.searchsorted(doc, np.arange(len(count) + 1)).tolist()
-        cut = lambda values: pa.array([values[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-        columns = [pa.array((shard << 32) + np.arange(len(text))), pa.array(np.full(len(text), shard, np.int32)), table.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(ids, pa.binary()), pa.array(count.astype(np.int32)), cut(names), cut(tf.astype(np.int32))]
-        return pa.table(columns, names=[x.split()[0] for x in _DEALT.split(", ")])
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df) of a task's documents: a row for each term at most."""
+    df = np.zeros(TERMS, np.int64)
+    for batch in batches:
+        for at in range(0, len(batch), 1024):
+            df += np.bincount(postings(*_ids(batch.column("ids").slice(at, 1024)))[1], minlength=TERMS)
+    own = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(df[own])], ["term", "df"])
+
+
+class Statistics:
+    """idf of each term and the mean length over the whole table, and the orders of terms that keys are taken by."""
+
+    def __init__(self, df: np.ndarray, docs: int, mean: float) -> None:
+        self.mean = max(mean, 1e-9)
+        # A term of one document finds no other.
+        self.idf = np.where(df > 1, np.log1p((docs - df + 0.5) / (df + 0.5)), 0).astype(np.float32)
+        self.orders = []
+        for k in range(KEYS):
+            u = ((mix(np.arange(TERMS, dtype=U64) + U64(1 + (k << 20))) >> U64(11)).astype(float) + 0.5) * 2.0**-53
+            late = np.where(self.idf > 0, -np.log(u) / np.maximum(self.idf, 1e-9), np.inf)
+            order = np.empty(TERMS, np.uint16)
+            order[np.argsort(late, kind="stable")] = np.arange(TERMS, dtype=np.uint16)
+            self.orders.append(order)
+
+    def keys(self, ids: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        full = np.flatnonzero(np.diff(edge))
+        out = np.zeros(len(edge) - 1, np.int64)
+        for order in self.orders:
+            out <<= 16
+            if len(full):
+                out[full] |= np.minimum.reduceat(order[ids], edge[full])
+        return out
+
+
+def _keyed(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = sent.value.keys(*_ids(batch.column("ids")))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[batch.column(c) for c in ("tie", "row", "doc_id", "ids")]], ["key", "tie", "row", "doc_id", "ids"])
 
     return run
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, h, c): documents of a batch that have a word."""
-    for batch in batches:
-        shard = batch.column("shard").to_numpy()
-        for own in np.unique(shard):
-            rows = batch.filter(pa.array(shard == own)).column("terms").to_pylist()
-            h, c = np.unique(np.frombuffer(b"".join(rows), np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), own, np.int32)), pa.array(h), pa.array(c)], ["shard", "h", "c"])
-
-
-def _build(total: int, mean: float):
-    def run(rows: pa.Table, terms: pa.Table) -> pa.Table:
-        rows = rows.sort_by("key")
-        own = rows.column("terms").to_pylist()
-        names = np.frombuffer(b"".join(own), np.uint64)
-        tf = np.frombuffer(b"".join(rows.column("tf").to_pylist()), np.int32)
-        doc = np.repeat(np.arange(len(own)), [len(x) // 8 for x in own])
-        h, df = terms.column("h").to_numpy().view(np.uint64), terms.column("df").to_numpy()
-        order = np.argsort(h)
-        h, df = h[order], df[order]
-        at = np.minimum(np.searchsorted(h, names), max(len(h) - 1, 0))
-        df = np.where(h[at] == names, df[at], 1) if len(h) else np.ones(len(names), np.int64)
-        made = weigh(names, doc, tf, df, rows.column("count").to_numpy(), total, mean)
-        columns = [rows.column("n").to_numpy().astype(np.int32), *made]
-        return pa.table([pa.array([rows.column("shard")[0].as_py()], pa.int32()), *[pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns]], names=[x.split()[0] for x in _INDEX.split(", ")])
+class Index:
+    """BM25 over the documents of one shard, with the table's statistics: a row of weights for each term that two of them
+    have, a column for each document."""
+
+    def __init__(self, ids: np.ndarray, edge: np.ndarray, facts: Statistics) -> None:
+        self.docs = len(edge) - 1
+        doc, term, tf = postings(ids, edge)
+        self.own = np.split(term, np.searchsorted(doc, np.arange(1, self.docs)))
+        useful = (np.bincount(term, minlength=TERMS) > 1) & (facts.idf > 0)
+        self.row = np.where(useful, np.cumsum(useful) - 1, -1)
+        doc, term, tf = (x[useful[term]] for x in (doc, term, tf))
+        norm = K1 * (1 - B + B * np.diff(edge) / facts.mean)
+        self.weight = np.zeros((int(useful.sum()), self.docs), np.float32)
+        self.weight[self.row[term], doc] = facts.idf[term] * (tf * (K1 + 1) / (tf + norm[doc]))
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        rows = self.row[terms]
+        return self.weight[rows[rows >= 0]].sum(axis=0)
+
+    def neighbours(self, terms: np.ndarray, free: np.ndarray) -> np.ndarray:
+        """Free documents that share a term, best first, equals in their order."""
+        score = self.scores(terms)
+        unused = np.flatnonzero(free & (score > 0))
+        return unused[np.argsort(-score[unused], kind="stable")]
 
-    return run
 
+class Plan:
+    """Sequences of one partition, filled over its shards; each piece is put out when its sequence is full."""
+
+    def __init__(self, window: int, facts: Statistics, base: int = 0) -> None:
+        self.window, self.facts, self.sequence = window, facts, base
+        self.open: list[tuple[int | None, int, np.ndarray, int]] = []  # (doc_id, start, ids, ids of the document)
+        self.filled = 0
+        self.query = np.zeros(0, np.int64)
+        self.out: list[tuple] = []
 
-def _search(sent):
-    """(q, number, score) over all shards of a partition, merged."""
+    def close(self) -> None:
+        offset = 0
+        for doc_id, start, ids, n in self.open:
+            self.out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), n, self.sequence, offset))
+            offset += len(ids)
+        self.open, self.filled, self.sequence = [], 0, self.sequence + 1
+
+    def put(self, doc_id: int | None, ids: np.ndarray) -> bool:
+        """Whether a window was filled; what is left of the document opens the next one."""
+        start, full = 0, False
+        while start < len(ids):
+            part = ids[start : start + self.window - self.filled]
+            self.open.append((doc_id, start, part, len(ids)))
+            start, self.filled = start + len(part), self.filled + len(part)
+            if self.filled == self.window:
+                self.close()
+                full = True
+        return full
+
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, edge: np.ndarray) -> None:
+        """A shard's documents. An open window goes on first; where it finds nothing, and after a window that ends with its
+        last document, the next unused document is the seed."""
+        index = Index(ids, edge, self.facts)
+        texts = [np.append(ids[a:b], np.uint16(END)).astype("<u4") for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        free, first = np.ones(len(texts), bool), 0
+        while True:
+            near = index.neighbours(self.query, free) if self.filled else np.zeros(0, np.int64)
+            seeds = not len(near)
+            if seeds:
+                while first < len(texts) and not free[first]:
+                    first += 1
+                if first == len(texts):
+                    return
+                near = np.array([first])
+            for doc in near.tolist():
+                free[doc] = False
+                if self.put(doc_ids[doc], texts[doc]) or seeds:
+                    self.query = index.own[doc]
+                    break
 
+    def finish(self) -> None:
+        """The open window over powers of two."""
+        left, filled = self.open[::-1], self.filled
+        for b in range(self.window.bit_length() - 1, -1, -1):
+            if not filled & (1 << b):
+                continue
+            room, self.open = 1 << b, []
+            while room:
+                doc_id, start, ids, n = left.pop()
+                self.open.append((doc_id, start, ids[:room], n))
+                if len(ids) > room:
+                    left.append((doc_id, start + room, ids[room:], n))
+                room -= min(len(ids), room)
+            self.close()
+        self.open, self.filled = [], 0
+
+    def taken(self) -> pa.RecordBatch:
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        columns = list(zip(*self.out, strict=True)) or [[]] * len(names)
+        self.out = []
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+
+def _packed(sent, window: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, want, bits, docs, base = sent.value
-        free = np.unpackbits(bits, count=docs).astype(bool)
-        kept = [np.zeros(0, np.int64)] * 4
+        plan = Plan(window, sent.value, TaskContext.get().partitionId() << 40)
+        rows: list[pa.RecordBatch] = []
+        size = docs = 0
+
+        def shard() -> pa.RecordBatch:
+            table = pa.Table.from_batches(rows).combine_chunks()
+            plan.add(table.column("doc_id").to_pylist(), *_ids(table.column("ids").chunk(0)))
+            rows.clear()
+            return plan.taken()
+
         for batch in batches:
-            for row in batch.to_pylist():
-                index, length, first = Index.load(row), np.frombuffer(row["length"], np.int32), base[row["shard"]]
-                q, doc, s = index.search(queries, want, free[first : first + len(length)], length)
-                kept = [np.concatenate([a, b]) for a, b in zip(kept, (q, s, doc + first, length[doc]), strict=True)]
-                pick = best(*kept, want)
-                kept = [x[pick] for x in kept]
-        yield pa.RecordBatch.from_arrays([pa.array(kept[0].astype(np.int32)), pa.array(kept[1].astype(np.int64)), pa.array(kept[2].astype(np.int64))], ["q", "score", "number"])
+            n = np.cumsum(pc.binary_length(batch.column("ids")).to_numpy()) // 2
+            at = 0
+            while at < len(batch):
+                done = int(n[at - 1]) if at else 0
+                to = max(int(np.searchsorted(n, done + shard_ids - size, "right")), at + (not docs))
+                to = min(to, at + SHARD_DOCS - docs)
+                rows.append(batch.slice(at, to - at))
+                size, docs = size + int(n[to - 1] if to else 0) - done, docs + to - at
+                at = to
+                if at < len(batch):
+                    yield shard()
+                    size = docs = 0
+        if docs:
+            yield shard()
+        plan.finish()
+        yield plan.taken()
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_ids: int = SHARD_IDS, part_ids: int = PART_IDS) -> DataFrame:
     """One row per piece of a document in a sequence (PIECES). `tokenizer` is the path of a vocabulary file.
 
     A document's ids end with END; a null text counts as empty and has only that id. Rows that repeat, or lack, a
-    doc_id are packed each for itself. Other columns don't matter. The driver keeps a length and a flag for each
-    document, and the queries and answers of a round.
+    doc_id are packed each for itself; documents with equal scores are taken in the order of their keys and row hashes, repeated rows in table order.
+    Other columns don't matter. A seed's neighbours are the best of its shard by BM25 with the statistics of all
+    documents. Gathered on the driver: a number for each id of the vocabulary.
     """
     if window & (window - 1):
         raise ValueError("the window has to be a power of two")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(shards)).cast("int"))
-    dealt = materialize(rows.groupBy("shard").applyInArrow(_deal(tokenizer), _DEALT), "dealt")
-
-    facts = dealt.agg(F.count("*"), F.avg("count")).first()
-    own = dealt.select("shard", "terms").mapInArrow(_terms, "shard int, h long, c long")
-    # Words of one document find no other; most words are such, and stay behind.
-    df = own.groupBy("h").agg(F.sum("c").alias("df"), F.collect_set("shard").alias("shards")).where("df > 1")
-    known = df.select(F.explode("shards").alias("shard"), "h", "df")
-    index = dealt.select("key", "shard", "n", "count", "terms", "tf").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_build(facts[0], facts[1] or 0.0), _INDEX)
-    index = materialize(index, "index")
-
-    lengths = dealt.select("key", "n").toArrow().sort_by("key")
-    key = lengths.column("key").to_numpy()
-    base = np.searchsorted(key, np.arange(shards, dtype=np.int64) << 32)
-    plan = Plan(lengths.column("n").to_numpy().astype(np.int64), window)
-    path = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
-    schema = "key long, start long, length long, sequence_id long, offset long"
-
-    def write() -> None:
-        pieces = plan.taken()
-        pieces = pieces.set_column(0, "key", pa.array(key[pieces.column("number").to_numpy()], pa.int64()))
-        spark.createDataFrame(pieces, schema).write.mode("append").parquet(path)
-
-    while chains := plan.open():
-        asked = np.unique([plan.chains[k][2] for k in chains])
-        wanted = spark.createDataFrame(pa.table([pa.array(key[asked])], names=["key"]))
-        words = dealt.select("key", "terms").join(F.broadcast(wanted), "key").toArrow()
-        terms = dict(zip(words.column("key").to_pylist(), words.column("terms").to_pylist(), strict=True))
-        queries = [np.frombuffer(terms[int(key[plan.chains[k][2]])], np.uint64) for k in chains]
-        want = np.array([plan.wants(k) for k in chains], np.int64)
-        sent = spark.sparkContext.broadcast((queries, want, np.packbits(plan.free), len(key), base))
-        found = index.mapInArrow(_search(sent), "q int, score long, number long").toArrow()
-        q, score, number = (found.column(x).to_numpy() for x in ("q", "score", "number"))
-        pick = best(q, score, number, plan.length[number], want)
-        edge = np.searchsorted(q[pick], np.arange(len(chains) + 1))
-        for i, k in enumerate(chains):
-            plan.fill(k, number[pick][edge[i] : edge[i + 1]])
-        sent.destroy()
-        if len(plan.done) > 1_000_000:
-            write()
-    plan.finish()
-    write()
-    placed = spark.read.schema(schema).parquet(path).join(dealt.select("key", "doc_id", "n", "ids"), "key")
-    crc = F.crc32(F.substring("ids", (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int")))
-    return placed.select("doc_id", "start", "length", crc.alias("ids_crc32"), F.col("n").cast("long").alias("doc_tokens"), "sequence_id", "offset")
+    rows = rows.withColumn("tie", F.xxhash64("doc_id", "text")).withColumn("row", F.monotonically_increasing_id())  # tells repeated rows apart
+    coded = materialize(rows.mapInArrow(_tokenise(tokenizer), "doc_id long, tie long, row long, n long, ids binary"), "ids")
+    count, total = coded.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    df = np.zeros(TERMS, np.int64)
+    for r in coded.select("ids").mapInArrow(_frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # TERMS rows at most
+        df[r["term"]] = r["df"]
+    sent = spark.sparkContext.broadcast(Statistics(df, count, total / max(count, 1)))  # a few numbers for each of TERMS
+    dealt = coded.select("tie", "row", "doc_id", "ids").mapInArrow(_keyed(sent), "key long, tie long, row long, doc_id long, ids binary")
+    parts = max(1, -(-(total + count) // part_ids))
+    return dealt.repartitionByRange(parts, "key", "tie", "row").sortWithinPartitions("key", "tie", "row").mapInArrow(_packed(sent, window, shard_ids), PIECES)

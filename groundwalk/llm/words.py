@@ -67,8 +67,8 @@ class Words:
         return mix(out)
 
 
-def split(text: pa.Array, lower: bool = False, fold: np.ndarray | None = None) -> Words:
-    """Nulls count as empty texts. `fold` maps bytes before words are cut."""
+def split(text: pa.Array, lower: bool = False, fold: np.ndarray | None = None, keep: np.ndarray | None = None) -> Words:
+    """Nulls count as empty texts. `fold` maps bytes before words are cut; texts of `keep` are not lower-cased."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     text = pc.fill_null(text.cast(pa.large_string()), "").cast(pa.large_binary())
@@ -77,7 +77,9 @@ def split(text: pa.Array, lower: bool = False, fold: np.ndarray | None = None) -
     data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
     off = off - off[0]
     if lower:
-        data = LOWER[data]
+        plain, data = data, LOWER[data]
+        for d in np.flatnonzero(keep) if keep is not None else ():
+            data[off[d] : off[d + 1]] = plain[off[d] : off[d + 1]]
     if fold is not None:
         data = fold[data]
     inside = ~SPACE[data]
