@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html_text, licenses, lm, media, packing, quality, tool_calls
 from .near_dedup import near_duplicates
-from .substring_dedup import FingerprintIndex
+from .substring_dedup import deduplicate
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,8 +48,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = FingerprintIndex(window=13).add(_table(spark, sf_dir, "documents"), keep=False)
-    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return deduplicate(_table(spark, sf_dir, "documents"), window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,42 +1,50 @@
 """Substring dedup with a log-structured fingerprint index.
 
 A window is `window` consecutive words of one document. A word goes if it is covered by a window that also
-starts in a document with a smaller doc_id. Doing this by a row per window would move several times the text, so
-the index holds anchors: of the 5-word fingerprints inside a window, the smallest is its anchor, and equal windows
-have equal anchors. Only windows whose anchor occurs in two documents can repeat, and only those are compared.
-
-Each batch of rows that a task reads becomes one sorted immutable run with a single entry per fingerprint and
-the documents that hold it, so a passage that is in a third of all documents costs a run one entry. A merge-join
-over the runs, sorted by fingerprint, finds what two documents share; the windows around it are then verified
-by 96 bits taken over all their words, in a second merge-join of sorted runs. An index that is kept writes its
-anchors as a run; `add` merges the next batch with all runs so far, and runs are compacted into one when there
-are more than `fan_in`.
+starts in a document with a smaller doc_id. A row for each window would move several times the text, so the index
+is on anchors: of the 5-word fingerprints inside a window, the smallest is its anchor, and equal windows have equal
+anchors. Documents are held in sheets, some hundred texts in a compressed row; sheets are what fingerprints point to.
+
+The index has two kinds of sorted immutable runs, each bucketed by its fingerprint, so they are read and merged where
+they are and never shuffled again:
+
+* anchor runs: (h, state). The state of an anchor that one sheet holds, in one document, is that sheet. Any other is
+  EXPANDED: all windows around it are in the window runs. So a passage of a third of all documents is one row.
+* window runs: the 96-bit prints of windows around expanded anchors.
+
+A batch of documents is merge-joined with the anchor runs. Anchors met for the second time are expanded: the batch's
+sheets, and of the history only the one sheet that each points to, give the prints of the windows around them. These
+are merge-joined with the window runs; of a print that is new, all but its first document are later ones, of a known one all
+are. A sheet whose own documents share an anchor knows that by itself and is not told, so no message goes out for each
+document of a large group. When there are more than `fan_in` runs they are compacted into one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import _squeeze
-from .scratch import materialize
+from .scratch import shared_dir
 from .words import U64, Words, mix, slices, split
 
 ANCHOR = 5
-#: Rows that a merge gathers before it groups its answers by document.
-ANSWERS = 400_000
-#: Answers travel by blocks of 2 ** BLOCK neighbouring document ids.
-BLOCK = 6
-_ANSWER = "block long, places binary, keys binary"
-#: Stands for a key where a document is a copy of a smaller one; anchors are even.
-COPY = 1
+#: State of an anchor all of whose windows are in the window runs.
+EXPANDED = -1
+#: A sheet's documents and bytes of text at most; a longer document is a sheet of its own.
+SHEET_DOCS, SHEET_BYTES = 256, 1 << 20
+#: Anchors that a task remembers to have told the index as shared.
+TOLD = 1 << 20
+_SHEET = "sheet long, ids array<long>, sizes array<int>, packed binary"
 
 
 def _anchors(words: Words, hashes: np.ndarray, window: int) -> np.ndarray:
@@ -52,325 +60,250 @@ def _anchors(words: Words, hashes: np.ndarray, window: int) -> np.ndarray:
     return mix(least)
 
 
-def _whole(hashes: np.ndarray) -> tuple[int, int]:
-    """96 bits over all words of a text, as an odd long and an int; anchors are even."""
-    got = hashlib.blake2b(hashes.tobytes(), digest_size=12).digest()
-    return int.from_bytes(got[:8], "little", signed=True) | 1, int.from_bytes(got[8:], "little", signed=True)
-
-
-def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document of each word, and whether a window that lies within its document starts there."""
-    count = np.diff(words.first)
-    doc = np.repeat(np.arange(len(count)), count)
-    last = np.repeat(words.first[1:], count)
-    return doc, np.arange(len(doc)) + window <= last
-
-
-def _held(key: np.ndarray, second: np.ndarray | None, doc: np.ndarray, head) -> tuple[list, list, list, list]:
-    """One entry for each key, sorted: the key, one document, and the others as packed int64 (None if there are none)."""
-    order = np.lexsort((doc, key) if second is None else (doc, second, key))
-    key, doc = key[order], doc[order]
-    same = key[1:] == key[:-1]
-    if second is not None:
-        second = second[order]
-        same &= second[1:] == second[:-1]
-    again = np.concatenate([[False], same & (doc[1:] == doc[:-1])]) if len(key) else np.zeros(0, bool)
-    key, doc = key[~again], doc[~again]
-    second = None if second is None else second[~again]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    if second is not None:
-        new[1:] |= second[1:] != second[:-1]
-    at = np.flatnonzero(new)
-    to = np.append(at[1:], len(key))[: len(at)]
-    one = doc[at] if head is min else doc[to - 1]
-    more: list = [None] * len(at)
-    for i in np.flatnonzero(to - at > 1):
-        rest = doc[at[i] + 1 : to[i]] if head is min else doc[at[i] : to[i] - 1]
-        more[i] = rest.tobytes()
-    return key[at], None if second is None else second[at], one, more
-
-
-def _runs(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, docs, copies = [], [], []
-            for part in slices(batch):
-                words = split(part.column("text"))
-                hashes = words.hashes()
-                anchors = _anchors(words, hashes, window)
-                doc, whole = _windows(words, window)
-                ids = part.column("doc_id").to_numpy()
-                ok = whole[: len(anchors)]
-                key, who = anchors[ok], ids[doc[: len(anchors)][ok]]
-                fresh = np.ones(len(key), bool)
-                fresh[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])  # neighbours mostly share their anchor
-                keys.append(key[fresh] & ~U64(1))
-                docs.append(who[fresh])
-                copies += [(*_whole(hashes[a:b]), i) for a, b, i in zip(words.first[:-1], words.first[1:], ids.tolist(), strict=True) if b - a >= window]
-            if keys:
-                key, _, one, more = _held(np.concatenate(keys), None, np.concatenate(docs), max)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.zeros(len(key), np.int32)), pa.array(one), pa.array(more, pa.binary())], ["h", "check", "doc_id", "more"])
-            if copies:
-                h, check, ids = (np.array(x) for x in zip(*copies, strict=True))
-                key, second, one, more = _held(h.astype(np.int64), check.astype(np.int32), -ids, max)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(second), pa.array(one), pa.array(more, pa.binary())], ["h", "check", "doc_id", "more"])
-
-    return run
+def _prints(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits over the words of each window: a long and an int."""
+    w = words.grams(hashes, window)
+    check = words.grams(mix(hashes ^ U64(0x5851F42D4C957F2D)), window)
+    return w.view(np.int64), (check >> U64(32)).astype(np.uint32).view(np.int32)
 
 
-class _Answers:
-    """(document, fingerprint) pairs, put out as one row for each block of neighbouring ids in a stretch."""
+def _text_hash(raw: bytes) -> int:
+    """As F.xxhash64 has it."""
+    return int.from_bytes(xxhash.xxh64_digest(raw, seed=42), "big", signed=True)
 
-    def __init__(self, kind: type) -> None:
-        self.kind = kind
-        self.docs: list[np.ndarray] = []
-        self.keys: list[np.ndarray] = []
-        self.count = 0
 
-    def put(self, docs: np.ndarray, keys: np.ndarray) -> None:
-        self.docs.append(docs)
-        self.keys.append(keys)
-        self.count += len(docs)
 
-    def take(self) -> pa.RecordBatch:
-        docs, keys = np.concatenate([np.zeros(0, np.int64), *self.docs]), np.concatenate([np.zeros(0, self.kind), *self.keys])
-        order = np.argsort(docs, kind="stable")
-        docs, keys = docs[order], keys[order]
-        block, place = docs >> BLOCK, (docs & ((1 << BLOCK) - 1)).astype(np.uint8)
-        at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(docs) else np.zeros(0, np.int64)
-        to = np.append(at[1:], len(docs))[: len(at)]
-        self.__init__(self.kind)
-        spans = list(zip(at.tolist(), to.tolist(), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array([place[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary())], ["block", "places", "keys"])
 
+# ---- sheets -------------------------------------------------------------------------------------------------
 
-def _spread(docs: np.ndarray, keys: np.ndarray, more: list, to: _Answers) -> None:
-    """Every document of the entries."""
-    to.put(docs, keys)
-    for i, m in enumerate(more):
-        if m is not None:
-            rest = np.frombuffer(m, np.int64)
-            to.put(rest, np.full(len(rest), keys[i]))
 
+def _sheets(batch_number: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sheet = batch_number << 48 | TaskContext.get().partitionId() << 24
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in slices(batch, limit=SHEET_BYTES):
+                for at in range(0, len(part), SHEET_DOCS):
+                    own = part.slice(at, SHEET_DOCS)
+                    texts = [(t or "").encode() for t in own.column("text").to_pylist()]
+                    columns = [[sheet], [own.column("doc_id").to_pylist()], [[len(t) for t in texts]], [pack(b"".join(texts))]]
+                    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["sheet", "ids", "sizes", "packed"])
+                    sheet += 1
 
-def _short(anchors: np.ndarray) -> np.ndarray:
-    """The low halves of anchors: enough to name those of one document, as what they select is verified."""
-    return (anchors & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+    return run
 
 
-def _shared(new_from: int):
-    """Merge of runs sorted by (h, check, doc_id descending). Of anchors, the holders of each that two documents hold,
-    one of them new. Of whole texts, whose ids are negated, all new holders but the smallest, as copies."""
+@dataclass
+class Sheet:
+    """Texts of a sheet. Windows that start at word i are `inside` their document; doc_ids of null are not `known`."""
+
+    texts: list[bytes]
+    ids: list[int | None]
+    words: Words
+    hashes: np.ndarray
+    anchors: np.ndarray
+    inside: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def open(cls, ids: list[int | None], sizes: list[int], packed: bytes, window: int) -> Sheet:
+        raw = zstandard.ZstdDecompressor().decompress(packed)
+        ends = np.cumsum(sizes).tolist()
+        texts = [raw[b - n : b] for b, n in zip(ends, sizes, strict=True)]
+        words = split(pa.array(texts, pa.binary()).cast(pa.string()))
+        hashes = words.hashes()
+        anchors = _anchors(words, hashes, window) & ~U64(1)
+        count = np.diff(words.first)
+        doc = np.repeat(np.arange(len(count)), count)[: len(anchors)]
+        known = np.array([i is not None for i in ids], bool)
+        inside = (np.arange(len(anchors)) + window <= words.first[1:][doc]) & known[doc]
+        owner = np.array([i or 0 for i in ids], np.int64)[doc]
+        return cls(texts, ids, words, hashes, anchors, inside, owner)
+
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors, sorted, and whether two documents of the sheet hold them."""
+        at = np.flatnonzero(self.inside)
+        key, who = self.anchors[at], self.owner[at]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])  # neighbours mostly share their anchor
+        key, who = key[fresh], who[fresh]
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        if not len(first):
+            return key, np.zeros(0, bool)
+        return key[first], np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
+
+    def hits(self, keys: list[int] | None, alone: bool) -> np.ndarray:
+        """Starts of the windows whose anchor is one of the keys (their low 32 bits), or shared in the sheet where `alone`."""
+        wanted = np.isin((self.anchors & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.array(keys or [], np.int32))
+        if alone:
+            key, many = self.held()
+            wanted |= np.isin(self.anchors, key[many])
+        return np.flatnonzero(wanted & self.inside)
+
+    def prints(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(order, group starts, w, check, least owner) of windows, sorted by print; the last three for each print."""
+        w, check = _prints(self.words, self.hashes, window) if len(at) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        w, check = w[at], check[at]
+        order = np.lexsort((check, w))
+        w, check = w[order], check[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (check[1:] != check[:-1])
+        first = np.flatnonzero(new)
+        least = np.minimum.reduceat(self.owner[at][order], first) if len(first) else np.zeros(0, np.int64)
+        return order, first, w[first], check[first], least
+
+
+def _opened(batches: Iterator[pa.RecordBatch], window: int, *more: str) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(len(batch)):
+            row = batch.slice(k, 1)
+            get = lambda name: row.column(name)[0].as_py()  # noqa: B023, E731
+            yield get("sheet"), Sheet.open(get("ids"), get("sizes"), get("packed"), window), *map(get, more)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers, held, known, top = _Answers(np.int32), None, None, None
-        # held: an entry that has had no second document yet; known: the key that has; top: first document of the last key.
-        for batch in batches:
-            if not len(batch):
-                continue
-            h, check, doc, more = (batch.column("h").to_numpy(), batch.column("check").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("more").to_pylist())
-            if held is not None:
-                h, check, doc, more = np.append(held[0], h), np.append(held[1], check), np.append(held[2], doc), [None, *more]
-                held = None
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-            if known == (h[0], check[0]):
-                new[0] = False
-            group = np.cumsum(new)
-            two = np.bincount(group, minlength=group[-1] + 1)[group] > 1
-            two |= np.array([m is not None for m in more])
-            two |= group == 0
-            firsts = np.concatenate([[top if top is not None else 0], doc[new]]).astype(np.int64)
-            several = np.bincount(group, weights=two, minlength=len(firsts)) > 0
-            odd = (h & 1) == 1
-            index = np.flatnonzero(several[group] & ~odd & (firsts[group] >= new_from))
-            _spread(doc[index], _short(h[index]), [more[i] for i in index], answers)
-            for i in np.flatnonzero(several[group] & odd):
-                rest = -np.append(np.frombuffer(more[i] or b"", np.int64), doc[i])
-                rest = rest[(rest > -firsts[group[i]]) & (rest >= new_from)]
-                answers.put(rest, np.full(len(rest), COPY, np.int32))
-            top = int(firsts[group[-1]])
-            if several[group[-1]]:
-                known = (h[-1], check[-1])
-            else:
-                known, held = None, (h[-1], check[-1], doc[-1])
-            if answers.count >= ANSWERS:
-                yield answers.take()
-        yield answers.take()
 
-    return run
+# ---- anchors ------------------------------------------------------------------------------------------------
 
 
-def _later(new_from: int):
-    """Merge of runs sorted by (w, check, doc_id): every new document that holds a window after the first document that does."""
+def _entries(window: int):
+    """(h, sheet, many) for each anchor of a sheet. One that two of its documents hold is told once by a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers, last, first = _Answers(np.int64), None, None
-        for batch in batches:
-            if not len(batch):
-                continue
-            w, check = batch.column("w").to_numpy(), batch.column("check").to_numpy()
-            doc, more = batch.column("doc_id").to_numpy(), batch.column("more").to_pylist()
-            new = np.ones(len(w), bool)
-            new[1:] = (w[1:] != w[:-1]) | (check[1:] != check[:-1])
-            if last == (w[0], check[0]):
-                new[0] = False
-            group = np.cumsum(new)
-            firsts = np.concatenate([[first if first is not None else 0], doc[new]]).astype(np.int64)
-            later = np.flatnonzero((doc > firsts[group]) & (doc >= new_from))
-            answers.put(doc[later], w[later])
-            for i, m in enumerate(more):
-                if m is not None:
-                    rest = np.frombuffer(m, np.int64)
-                    rest = rest[(rest > firsts[group[i]]) & (rest >= new_from)]
-                    answers.put(rest, np.full(len(rest), w[i]))
-            last, first = (w[-1], check[-1]), int(firsts[group[-1]])
-            if answers.count >= ANSWERS:
-                yield answers.take()
-        yield answers.take()
+        told: set[int] = set()
+        for number, sheet in _opened(batches, window):
+            key, many = sheet.held()
+            shared = np.flatnonzero(many)
+            again = np.array([h in told for h in key[shared].tolist()], bool)
+            told.update(key[shared[~again]].tolist())
+            if len(told) > TOLD:
+                told.clear()
+            use = np.ones(len(key), bool)
+            use[shared[again]] = False
+            yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(np.full(int(use.sum()), number)), pa.array(many[use])], ["h", "sheet", "many"])
 
     return run
 
 
-def _by_document(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[int | None, bytes, np.ndarray]]:
-    """Of rows sorted by (block, kind), answers before texts: each document's id, its packed text and its keys."""
-    now, places, keys, sorted_keys = None, [], [], None
-    none = np.zeros(0, kind)
-    for batch in batches:
-        for block, doc_id, packed, place, got in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "packed", "places", "keys")), strict=True):
-            if now is None or block != now:
-                now, places, keys, sorted_keys = block, [], [], None
-            if packed is None:
-                places.append(place)
-                keys.append(got)
-                continue
-            if doc_id is None or not places:
-                yield doc_id, packed, none
-                continue
-            if sorted_keys is None:
-                where = np.frombuffer(b"".join(places), np.uint8)
-                order = np.argsort(where, kind="stable")
-                sorted_keys = (where[order], np.frombuffer(b"".join(keys), kind)[order])
-            a, b = np.searchsorted(sorted_keys[0], [doc_id & ((1 << BLOCK) - 1), (doc_id & ((1 << BLOCK) - 1)) + 1])
-            yield doc_id, packed, sorted_keys[1][a:b]
-
+def _merge(keep: bool):
+    """Of rows (h, sheet, many, old) sorted by h: the run's rows (h, state), and (h, ask) for each sheet that is to be
+    told that an anchor it holds is shared."""
 
-def _groups(batches: Iterator[pa.RecordBatch], kind: type, rows: int = 200):
-    some = []
-    for x in _by_document(batches, kind):
-        some.append(x)
-        if len(some) >= rows:
-            yield some
-            some = []
-    if some:
-        yield some
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row so far if its anchor is not known to be shared; the anchor that is.
+        left: list[np.ndarray] | None = None
+        known: int | None = None
 
+        def out(h: np.ndarray, state: np.ndarray | None, ask: np.ndarray | None) -> pa.RecordBatch:
+            none = pa.nulls(len(h), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(h), none if state is None else pa.array(state), none if ask is None else pa.array(ask)], ["h", "state", "ask"])
 
-_PLACED = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, spans binary, packed binary, keys binary"
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [batch.column("h").to_numpy(), batch.column("sheet").to_numpy(), batch.column("many").to_numpy(zero_copy_only=False), batch.column("old").fill_null(-2).to_numpy()]
+            if left is not None:
+                columns = [np.concatenate([a, b]) for a, b in zip(left, columns, strict=True)]
+            h, sheet, many, old = columns
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(h)))
+            go_on = known is not None and known == h[0]
+            shared = (size > 1) | np.logical_or.reduceat(many, first) | (old[first] != -2)
+            shared[0] |= go_on
+            begun = np.ones(len(first), bool)
+            begun[0] = not go_on
+            left = None if shared[-1] else [c[-1:] for c in columns]
+            known = int(h[-1]) if shared[-1] else None
+            single = first[~shared]
+            if keep and len(single):
+                single = single[: len(single) - (left is not None)]
+                yield out(h[single], sheet[single], None)
+            fresh = first[shared & begun]
+            if keep:
+                marks = fresh[old[fresh] != EXPANDED]
+                yield out(h[marks], np.full(len(marks), EXPANDED), None)
+            before = fresh[old[fresh] >= 0]
+            yield out(h[before], None, old[before])
+            told = np.flatnonzero(np.repeat(shared, size) & ~many)
+            yield out(h[told], None, sheet[told])
+        if left is not None and keep:
+            yield out(left[0], left[1], None)
 
+    return run
 
-def _text_hash(raw: bytes) -> int:
-    """As F.xxhash64 has it."""
-    return int.from_bytes(xxhash.xxh64_digest(raw, seed=42), "big", signed=True)
 
+# ---- windows ------------------------------------------------------------------------------------------------
 
-_EMPTY = hashlib.sha256(b"").hexdigest()
 
+def _found(window: int, fresh: bool):
+    """(w, check, doc_id, sheet) of each print around the anchors asked for, with its first document in the sheet; no sheet
+    where it belongs to the history."""
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that share no anchor, and copies, are finished; the others keep their text and their shared anchors."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    for some in _groups(batches, np.int32):
-        out: dict[str, list] = {"doc_id": [], "text_hash": [], "n_words": [], "n_removed": [], "kept_sha256": [], "spans": [], "packed": [], "keys": []}
-        for doc, packed, keys in some:
-            if not len(keys):
-                raw = unpack(packed)
-                words = raw.split()
-                row = (doc, _text_hash(raw), len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest(), b"", None, None)
-            elif (keys == COPY).any():
-                raw = unpack(packed)
-                n = len(raw.split())
-                row = (doc, _text_hash(raw), n, n, _EMPTY, np.array([0, n], np.int64).tobytes(), None, None)
-            else:
-                row = (doc, None, None, None, None, None, packed, keys.tobytes())
-            for column, value in zip(out.values(), row, strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.binary()), ("packed", pa.binary()), ("keys", pa.binary())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, sheet, keys in _opened(batches, window, "keys"):
+            _, _, w, check, least = sheet.prints(sheet.hits(keys, alone=fresh), window)
+            where = pa.array(np.full(len(w), number)) if fresh else pa.nulls(len(w), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(check), pa.array(least), where], ["w", "check", "doc_id", "sheet"])
 
+    return run
 
-def _prints(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits over the words of each window: a long and an int."""
-    w = words.grams(hashes, window)
-    check = words.grams(mix(hashes ^ U64(0x5851F42D4C957F2D)), window)
-    return w.view(np.int64), (check >> U64(32)).astype(np.uint32).view(np.int32)
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (w, check, doc_id, sheet, old) sorted by the first three: a row without sheet for each print that is new, and
+    one for each sheet all of whose documents come after the print's first one."""
+    last, first = None, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        w, check, doc = (batch.column(c).to_numpy() for c in ("w", "check", "doc_id"))
+        old, sheet = batch.column("old").to_numpy(zero_copy_only=False), batch.column("sheet")
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (check[1:] != check[:-1])
+        new[0] = last != (w[0], check[0])
+        group = np.cumsum(new)
+        firsts = np.concatenate([[first if first is not None else 0], doc[new]]).astype(np.int64)
+        last, first = (w[-1], check[-1]), firsts[group[-1]]
+        run = np.flatnonzero(new & ~old)
+        told = np.flatnonzero((old | (doc > firsts[group])) & sheet.is_valid().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(w[run]), pa.array(check[run]), pa.nulls(len(run), pa.int64())], ["w", "check", "ask"])
+        yield pa.RecordBatch.from_arrays([pa.array(w[told]), pa.array(check[told]), sheet.take(pa.array(told))], ["w", "check", "ask"])
 
-def _window_runs(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            ws, checks, docs = [], [], []
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                words = split(pa.array([unpack(x) for x in part.column("packed").to_pylist()], pa.binary()).cast(pa.string()))
-                hashes = words.hashes()
-                anchors = _short((_anchors(words, hashes, window) & ~U64(1)).view(np.int64))
-                w, check = _prints(words, hashes, window)
-                ids = part.column("doc_id").to_numpy()
-                for d, keys in enumerate(part.column("keys").to_pylist()):
-                    a, b = words.first[d], words.first[d + 1] - window + 1
-                    if b > a:
-                        hit = np.flatnonzero(np.isin(anchors[a:b], np.frombuffer(keys, np.int32))) + a
-                        ws.append(w[hit])
-                        checks.append(check[hit])
-                        docs.append(np.full(len(hit), ids[d]))
-            if ws:
-                key, second, one, more = _held(np.concatenate(ws), np.concatenate(checks), np.concatenate(docs), min)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(second), pa.array(one), pa.array(more, pa.binary())], ["w", "check", "doc_id", "more"])
 
-    return run
+_CUT = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string, spans binary"
 
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for some in _groups(batches, np.int64):
-            out: dict[str, list] = {"doc_id": [], "text_hash": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "spans": []}
-            for doc, packed, keys in some:
-                raw = unpack(packed)
-                words = split(pa.array([raw], pa.binary()).cast(pa.string()))
-                n = len(words.start)
-                gone = np.zeros(n, bool)
-                if len(keys) and n >= window:
-                    w, _ = _prints(words, words.hashes(), window)
-                    edge = np.zeros(n + 1, np.int64)
-                    hit = np.flatnonzero(np.isin(w, keys))
-                    np.add.at(edge, hit, 1)
-                    np.add.at(edge, hit + window, -1)
-                    gone = np.cumsum(edge)[:n] > 0
-                kept = b" ".join(w for w, g in zip(raw.split(), gone.tolist(), strict=True) if not g)
-                steps = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                out["doc_id"].append(doc)
-                out["text_hash"].append(_text_hash(raw))
-                out["n_words"].append(n)
-                out["n_removed"].append(int(gone.sum()))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept.decode() if gone.any() else None)
-                out["spans"].append(steps.astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.binary())]))
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.binary())])
+        for _, sheet, keys, earlier in _opened(batches, window, "keys", "earlier"):
+            at = sheet.hits(keys, alone=True)
+            order, first, w, check, least = sheet.prints(at, window)
+            outside = {(x["w"], x["check"]) for x in earlier or ()}
+            known = np.array([x in outside for x in zip(w.tolist(), check.tolist(), strict=True)], bool) if outside else np.zeros(len(w), bool)
+            size = np.diff(np.append(first, len(order)))
+            gone = at[order][np.repeat(known, size) | (sheet.owner[at][order] > np.repeat(least, size))]
+            edge = np.zeros(len(sheet.hashes) + 1, np.int64)
+            np.add.at(edge, gone, 1)
+            np.add.at(edge, gone + window, -1)
+            removed = np.cumsum(edge)[:-1] > 0
+            rows: list[tuple] = []
+            for d, (doc_id, raw) in enumerate(zip(sheet.ids, sheet.texts, strict=True)):
+                own = removed[sheet.words.first[d] : sheet.words.first[d + 1]]
+                words = raw.split()
+                cut = int(own.sum())
+                kept = b" ".join(words if not cut else [x for x, g in zip(words, own.tolist(), strict=True) if not g])
+                steps = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+                rows.append((doc_id, _text_hash(raw), len(words), cut, hashlib.sha256(kept).hexdigest(), kept.decode() if cut else None, steps.astype(np.int64).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _meet(texts: DataFrame, answers: DataFrame) -> DataFrame:
-    """Texts and the keys that concern them, side by side; rows without an id are dealt by their text."""
-    none = F.lit(None).cast("binary")
-    left = texts.select(F.coalesce(F.shiftright("doc_id", BLOCK), F.xxhash64("packed")).alias("block"), F.lit(1).alias("kind"), "doc_id", "packed", none.alias("places"), none.alias("keys"))
-    right = answers.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), none.alias("packed"), "places", "keys")
-    return left.union(right).repartition("block").sortWithinPartitions("block", "kind")
-
-
 def _kinds(df: DataFrame, *without: str) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields if f.name not in without]
 
@@ -403,16 +336,31 @@ def opened_rows(rows: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Documents so far, and their anchors as sorted runs.
+    """Sheets of the documents so far, and runs of their anchors and windows.
 
-    Batches come in rising order of doc_id. `keep=False` leaves out the run of a batch after which none follows.
+    Batches come in rising order of doc_id. `keep=False` leaves out the runs of a batch after which none follows.
     """
 
     def __init__(self, window: int = 13, fan_in: int = 4) -> None:
         self.window, self.fan_in = window, fan_in
-        self.runs: list[DataFrame] = []
-        self.seen: DataFrame | None = None
+        self.sheets: list[DataFrame] = []
+        self.anchors: list[DataFrame] = []
+        self.windows: list[DataFrame] = []
         self.top: int | None = None
+        self.buckets = 0
+
+    def _write(self, df: DataFrame, key: str) -> DataFrame:
+        """df as a table of sorted buckets in the shared folder; its name leaves the catalogue, its files stay."""
+        spark = df.sparkSession
+        name = f"groundwalk_{key}_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+        out = spark.table(name)
+        out.schema  # resolved before the name goes
+        spark.sql(f"DROP TABLE {name}")
+        return out
+
+    def _dealt(self, df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(self.buckets, key)
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept (the text left, null if nothing
@@ -421,42 +369,67 @@ class FingerprintIndex:
         A null text has no words. A row without doc_id is neither indexed nor cut. Rows that repeat a doc_id stand for
         one document: they don't remove each other's words. Other columns don't matter.
         """
+        spark = docs.sparkSession
+        self.buckets = self.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        fresh, new_from = docs.where("doc_id is not null").mapInArrow(_runs(self.window), "h long, check int, doc_id long, more binary"), -(2**63)
-        if self.runs:
-            low = docs.agg(F.min("doc_id")).first()[0]
-            if low is not None and self.top is not None and low <= self.top:
-                raise ValueError(f"doc_id {low} comes after {self.top}: batches must rise")
-            new_from = self.top + 1 if self.top is not None else new_from
-        if keep:
-            fresh = materialize(fresh.repartition("h").sortWithinPartitions("h"), "run")
-            top = docs.agg(F.max("doc_id")).first()[0]
-        runs = fresh
-        for earlier in self.runs:
-            runs = runs.union(earlier)
-        texts = docs.mapInArrow(_squeeze, "doc_id long, packed binary")
-        every = texts if self.seen is None else texts.union(self.seen.mapInArrow(_squeeze, "doc_id long, packed binary"))
-
-        shared = runs.repartition("h").sortWithinPartitions("h", "check", F.desc("doc_id")).mapInArrow(_shared(new_from), _ANSWER)
-        placed = materialize(_meet(every, shared).mapInArrow(_place, _PLACED), "placed")
-        hit = placed.where("packed is not null")
-        prints = hit.mapInArrow(_window_runs(self.window), "w long, check int, doc_id long, more binary").repartition("w").sortWithinPartitions("w", "check", "doc_id")
-        later = prints.mapInArrow(_later(new_from), _ANSWER)
-        mine = F.coalesce(F.col("doc_id") >= new_from, F.lit(True))
-        cut = _meet(hit.where(mine).select("doc_id", "packed"), later).mapInArrow(_cut(self.window), "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string, spans binary")
-        clean = placed.where(F.col("packed").isNull() & mine).select("doc_id", "text_hash", "n_words", "n_removed", "kept_sha256", F.when(F.col("n_removed") > 0, "").alias("kept"), "spans")
+        low, top = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is not None and self.top is not None and low <= self.top:
+            raise ValueError(f"doc_id {low} comes after {self.top}: batches must rise")
+        sheets = self._write(self._dealt(docs.mapInArrow(_sheets(len(self.sheets)), _SHEET), "sheet"), "sheet")
+
+        met = self._dealt(sheets.mapInArrow(_entries(self.window), "h long, sheet long, many boolean"), "h").withColumn("old", F.lit(None).cast("long"))
+        for run in self.anchors:  # later runs know better
+            met = met.join(run.withColumnRenamed("state", "now"), "h", "left").withColumn("old", F.coalesce("now", "old")).drop("now")
+        merged = self._write(met.sortWithinPartitions("h").mapInArrow(_merge(keep), "h long, state long, ask long"), "h")
+        low_bits = F.col("h").bitwiseAND(0xFFFFFFFF)
+        key = F.when(low_bits >= 1 << 31, low_bits - (1 << 32)).otherwise(low_bits).cast("int")
+        asked = self._write(self._dealt(merged.where("ask is not null").groupBy(F.col("ask").alias("sheet")).agg(F.collect_list(key).alias("keys")), "sheet"), "sheet")
+
+        self.asked = asked
+        # Of the history only batches with a sheet that is asked for are read: a number for each at most.
+        touched = sorted(r[0] for r in asked.select(F.shiftright("sheet", 48).alias("n")).distinct().collect()) if self.sheets else []
+        prints = sheets.join(asked, "sheet", "left").select("sheet", "ids", "sizes", "packed", "keys").mapInArrow(_found(self.window, True), "w long, check int, doc_id long, sheet long")
+        for n in touched:
+            if n < len(self.sheets):
+                old = self.sheets[n].join(asked, "sheet").select("sheet", "ids", "sizes", "packed", "keys")
+                prints = prints.union(old.mapInArrow(_found(self.window, False), "w long, check int, doc_id long, sheet long"))
+        found = self._dealt(prints, "w").withColumn("old", F.lit(False))
+        for run in self.windows:
+            # The second half of a print is no key of the join, as runs are bucketed by the first.
+            known = run.select(F.col("w").alias("w_"), F.col("check").alias("check_"))
+            found = found.join(known, (F.col("w") == F.col("w_")) & (F.col("check") - F.col("check_") == 0), "left").withColumn("old", F.col("old") | F.col("w_").isNotNull()).drop("w_", "check_")
+        later = self._write(found.sortWithinPartitions("w", "check", "doc_id").mapInArrow(_later, "w long, check int, ask long"), "w")
+        earlier = later.where("ask is not null").groupBy(F.col("ask").alias("sheet")).agg(F.collect_list(F.struct("w", "check")).alias("earlier"))
+        out = sheets.join(asked, "sheet", "left").join(earlier, "sheet", "left").select("sheet", "ids", "sizes", "packed", "keys", "earlier").mapInArrow(_cut(self.window), _CUT)
+
+        self.sheets.append(sheets)
+        self.top = top if top is not None else self.top
         if keep:
-            self.runs.append(fresh)
-            known = docs.where("doc_id is not null")
-            self.seen = known if self.seen is None else self.seen.union(known)
-            self.top = top if top is not None else self.top
-            if len(self.runs) > self.fan_in:
+            self.anchors.append(merged.where("state is not null").select("h", "state"))
+            self.windows.append(later.where("ask is null").select("w", "check"))
+            if len(self.anchors) > self.fan_in:
                 self.compact()
-        return clean.union(cut)
+        return out
 
     def compact(self) -> None:
-        """All runs as one, sorted by anchor; entries of one anchor stand side by side."""
-        runs = self.runs[0]
-        for other in self.runs[1:]:
-            runs = runs.union(other)
-        self.runs = [materialize(runs.repartition("h").sortWithinPartitions("h", "check", F.desc("doc_id")), "run")]
+        """Each kind's runs as one. They are bucketed alike, so buckets are merged in place."""
+        anchors, windows = self.anchors[0], self.windows[0]
+        for run in self.anchors[1:]:
+            anchors = anchors.join(run.withColumnRenamed("state", "now"), "h", "full_outer").select("h", F.coalesce("now", "state").alias("state"))
+        for run in self.windows[1:]:
+            other = run.select(F.col("w").alias("w_"), F.col("check").alias("check_"))
+            windows = windows.join(other, (F.col("w") == F.col("w_")) & (F.col("check") - F.col("check_") == 0), "full_outer").select(F.coalesce("w", "w_").alias("w"), F.coalesce("check", "check_").alias("check"))
+        self.anchors, self.windows = [self._write(anchors, "h")], [self._write(windows, "w")]
+
+
+def deduplicate(docs: DataFrame, window: int = 13, batches: int = 3, fan_in: int = 1) -> DataFrame:
+    """`FingerprintIndex.add` over the whole table, in `batches` of rising doc_id and about equal size."""
+    index, out = FingerprintIndex(window, fan_in), None
+    cuts = sorted({int(x) for x in docs.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)})
+    for k, low in enumerate([None, *cuts]):
+        part = docs if low is None else docs.where(F.col("doc_id") > low)
+        if k < len(cuts):
+            part = part.where((F.col("doc_id") <= cuts[k]) | F.col("doc_id").isNull() if low is None else F.col("doc_id") <= cuts[k])
+        cut = index.add(part, keep=k < len(cuts))
+        out = cut if out is None else out.union(cut)
+    return out

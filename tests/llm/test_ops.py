@@ -11,11 +11,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from groundwalk.llm import decontaminate, html_text, licenses, lm, media, packing, quality, tool_calls, webp
+from groundwalk.llm import decontaminate, html_text, licenses, lm, media, packing, quality, substring_dedup, tool_calls, webp
 from groundwalk.llm.components import components
 from groundwalk.llm.near_dedup import estimate, near_duplicates, registers
 from groundwalk.llm.queries import tokenizer_path
-from groundwalk.llm.substring_dedup import FingerprintIndex
+from groundwalk.llm.substring_dedup import FingerprintIndex, deduplicate
 from groundwalk.llm.tokens import encoder
 from groundwalk.llm.words import split
 
@@ -150,6 +150,7 @@ def removed(df):
 def test_substrings(spark, corpus, window):
     rows = corpus + [(1000 + i, prose(99, 12 + i) + " end") for i in range(4)]
     assert removed(FingerprintIndex(window).add(table(spark, rows), keep=False)) == substring_truth(rows, window)
+    assert removed(deduplicate(table(spark, rows), window)) == substring_truth(rows, window)
 
 
 def test_substrings_by_batches(spark, corpus):
@@ -157,11 +158,39 @@ def test_substrings_by_batches(spark, corpus):
     for lo, hi in ((0, 50), (50, 51), (51, 120), (120, 1000)):
         got |= removed(index.add(table(spark, [r for r in corpus if lo <= r[0] < hi])))
     assert got == substring_truth(corpus)
-    assert len(index.runs) <= 2
+    assert len(index.anchors) == len(index.windows) == 1
     with pytest.raises(ValueError, match="rise"):
         index.add(table(spark, [(4, "x")]))
 
 
+def test_substrings_hot_passage(spark, monkeypatch):
+    """A passage in half of all documents, in tasks that forget what they told the index."""
+    monkeypatch.setattr(substring_dedup, "TOLD", 4)
+    passage = prose(77, 60)
+    rows = [(i, f"{prose(i, 20 + i % 50)} {passage if i % 2 else ''} {prose(-i, 15)}") for i in range(700)]
+    assert removed(deduplicate(table(spark, rows).repartition(5))) == substring_truth(rows)
+
+
+def files(df):
+    return set(df.inputFiles())
+
+
+def test_a_batch_reads_runs_and_the_sheets_that_it_meets(spark):
+    """Of three batches in the index, a fourth that repeats the second reads no text of the others."""
+    index = FingerprintIndex(fan_in=10)
+    texts = [[(100 * b + i, prose(1000 * b + i, 60, size=10**6)) for i in range(20)] for b in range(3)]
+    for own in texts:
+        index.add(table(spark, own)).count()
+    fourth = [(900 + i, texts[1][i][1]) for i in range(5)]
+    later = index.add(table(spark, fourth))
+    assert removed(later) == {i: x for i, x in substring_truth(sum(texts, []) + fourth).items() if i >= 900}
+    asked = index.asked
+    assert {r.sheet >> 48 for r in asked.collect()} == {1, 3}
+    for kind in (index.anchors, index.windows):
+        plan = kind[0].hint("merge").join(kind[1], kind[0].columns[0])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan  # runs meet in their buckets
+
+
 def test_substrings_odd_tables(spark):
     assert FingerprintIndex().add(table(spark, []), keep=False).count() == 0
     t = prose(3, 20)
