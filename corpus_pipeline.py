@@ -12,7 +12,7 @@ from groundwalk.llm import decontaminate, packing, quality
 from groundwalk.llm.near_dedup import near_duplicates
 from groundwalk.llm.queries import tokenizer_path
 from groundwalk.llm.scratch import materialize
-from groundwalk.llm.substring_dedup import FingerprintIndex, opened_rows, squeezed_rows
+from groundwalk.llm.substring_dedup import deduplicate, opened_rows, squeezed_rows
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 13 and more words that an earlier document has; a text of which nothing stays goes."""
-    cut = FingerprintIndex(window=13).add(docs, keep=False).where("n_removed > 0").select("doc_id", "text_hash", "kept").dropDuplicates(["doc_id", "text_hash"])
+    cut = deduplicate(docs, window=13).where("n_removed > 0").select("doc_id", "text_hash", "kept").dropDuplicates(["doc_id", "text_hash"])
     # Texts cross the join as zstandard frames, for half the shuffle.
     rows = squeezed_rows(docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))))
     joined = rows.join(cut, ["doc_id", "text_hash"], "left").where("kept is null or kept <> ''")
