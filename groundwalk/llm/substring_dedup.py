@@ -60,11 +60,16 @@ def _anchors(words: Words, hashes: np.ndarray, window: int) -> np.ndarray:
     return mix(least)
 
 
-def _prints(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits over the words of each window: a long and an int."""
-    w = words.grams(hashes, window)
-    check = words.grams(mix(hashes ^ U64(0x5851F42D4C957F2D)), window)
-    return w.view(np.int64), (check >> U64(32)).astype(np.uint32).view(np.int32)
+def _prints(hashes: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits over the words of the windows that start at `at`: a long and an int."""
+    second = mix(hashes ^ U64(0x5851F42D4C957F2D))
+    w, check = np.zeros(len(at), U64), np.zeros(len(at), U64)
+    for j in range(window):
+        for out, own in ((w, hashes), (check, second)):
+            out *= U64(0x9FB21C651E98DF25)
+            out += own[at + j]
+            out ^= out >> U64(29)
+    return mix(w).view(np.int64), (mix(check) >> U64(32)).astype(np.uint32).view(np.int32)
 
 
 def _text_hash(raw: bytes) -> int:
@@ -128,7 +133,7 @@ class Sheet:
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])  # neighbours mostly share their anchor
         key, who = key[fresh], who[fresh]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, who = key[order], who[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
@@ -137,19 +142,18 @@ class Sheet:
             return key, np.zeros(0, bool)
         return key[first], np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
 
-    def hits(self, keys: list[int] | None, alone: bool) -> np.ndarray:
+    def hits(self, keys: np.ndarray, alone: bool) -> np.ndarray:
         """Starts of the windows whose anchor is one of the keys (their low 32 bits), or shared in the sheet where `alone`."""
-        wanted = np.isin((self.anchors & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.array(keys or [], np.int32))
+        wanted = np.isin((self.anchors & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), keys)
         if alone:
             key, many = self.held()
             wanted |= np.isin(self.anchors, key[many])
         return np.flatnonzero(wanted & self.inside)
 
     def prints(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order, group starts, w, check, least owner) of windows, sorted by print; the last three for each print."""
-        w, check = _prints(self.words, self.hashes, window) if len(at) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-        w, check = w[at], check[at]
-        order = np.lexsort((check, w))
+        """(order, group starts, w, check, least owner) of windows, sorted by w; the last three for each print."""
+        w, check = _prints(self.hashes, at, window)
+        order = np.argsort(w)
         w, check = w[order], check[order]
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (check[1:] != check[:-1])
@@ -158,12 +162,18 @@ class Sheet:
         return order, first, w[first], check[first], least
 
 
+def _numbers(column: pa.Array, k: int) -> np.ndarray:
+    """The list in row k as numbers; of a null, none."""
+    return column[k].values.to_numpy() if column[k].is_valid else np.zeros(0, np.int64)
+
+
 def _opened(batches: Iterator[pa.RecordBatch], window: int, *more: str) -> Iterator[tuple]:
+    """(sheet number, sheet, lists of numbers)."""
     for batch in batches:
+        column = batch.column
         for k in range(len(batch)):
-            row = batch.slice(k, 1)
-            get = lambda name: row.column(name)[0].as_py()  # noqa: B023, E731
-            yield get("sheet"), Sheet.open(get("ids"), get("sizes"), get("packed"), window), *map(get, more)
+            sheet = Sheet.open(column("ids")[k].as_py(), _numbers(column("sizes"), k).tolist(), column("packed")[k].as_py(), window)
+            yield column("sheet")[k].as_py(), sheet, *[_numbers(column(name), k) for name in more]
 
 
 # ---- anchors ------------------------------------------------------------------------------------------------
@@ -253,9 +263,9 @@ def _found(window: int, fresh: bool):
     return run
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (w, check, doc_id, sheet, old) sorted by the first three: a row without sheet for each print that is new, and
-    one for each sheet all of whose documents come after the print's first one."""
+def _later(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows (w, check, doc_id, sheet, old) sorted by the first three: a row for each sheet all of whose documents come
+    after the print's first one, and to keep, one without sheet for each print that is new."""
     last, first = None, None
     for batch in batches:
         if not len(batch):
@@ -268,7 +278,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new)
         firsts = np.concatenate([[first if first is not None else 0], doc[new]]).astype(np.int64)
         last, first = (w[-1], check[-1]), firsts[group[-1]]
-        run = np.flatnonzero(new & ~old)
+        run = np.flatnonzero(new & ~old) if keep else np.zeros(0, np.int64)
         told = np.flatnonzero((old | (doc > firsts[group])) & sheet.is_valid().to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays([pa.array(w[run]), pa.array(check[run]), pa.nulls(len(run), pa.int64())], ["w", "check", "ask"])
         yield pa.RecordBatch.from_arrays([pa.array(w[told]), pa.array(check[told]), sheet.take(pa.array(told))], ["w", "check", "ask"])
@@ -280,24 +290,26 @@ _CUT = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 s
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.binary())])
-        for _, sheet, keys, earlier in _opened(batches, window, "keys", "earlier"):
+        for _, sheet, keys, ws, checks in _opened(batches, window, "keys", "ws", "checks"):
             at = sheet.hits(keys, alone=True)
             order, first, w, check, least = sheet.prints(at, window)
-            outside = {(x["w"], x["check"]) for x in earlier or ()}
-            known = np.array([x in outside for x in zip(w.tolist(), check.tolist(), strict=True)], bool) if outside else np.zeros(len(w), bool)
+            known = np.zeros(len(w), bool)
+            if len(ws):
+                by = np.argsort(ws)
+                place = np.minimum(np.searchsorted(ws, w, sorter=by), len(ws) - 1)
+                known = (ws[by][place] == w) & (checks[by][place] == check)
             size = np.diff(np.append(first, len(order)))
             gone = at[order][np.repeat(known, size) | (sheet.owner[at][order] > np.repeat(least, size))]
-            edge = np.zeros(len(sheet.hashes) + 1, np.int64)
-            np.add.at(edge, gone, 1)
-            np.add.at(edge, gone + window, -1)
-            removed = np.cumsum(edge)[:-1] > 0
+            n = len(sheet.hashes) + 1
+            removed = np.cumsum(np.bincount(gone, minlength=n) - np.bincount(gone + window, minlength=n))[:-1] > 0
             rows: list[tuple] = []
             for d, (doc_id, raw) in enumerate(zip(sheet.ids, sheet.texts, strict=True)):
                 own = removed[sheet.words.first[d] : sheet.words.first[d + 1]]
                 words = raw.split()
                 cut = int(own.sum())
-                kept = b" ".join(words if not cut else [x for x, g in zip(words, own.tolist(), strict=True) if not g])
                 steps = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+                inner = [0, *steps.tolist(), len(words)]
+                kept = b" ".join([x for a, b in zip(inner[::2], inner[1::2], strict=True) for x in words[a:b]] if cut else words)
                 rows.append((doc_id, _text_hash(raw), len(words), cut, hashlib.sha256(kept).hexdigest(), kept.decode() if cut else None, steps.astype(np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -398,9 +410,10 @@ class FingerprintIndex:
             # The second half of a print is no key of the join, as runs are bucketed by the first.
             known = run.select(F.col("w").alias("w_"), F.col("check").alias("check_"))
             found = found.join(known, (F.col("w") == F.col("w_")) & (F.col("check") - F.col("check_") == 0), "left").withColumn("old", F.col("old") | F.col("w_").isNotNull()).drop("w_", "check_")
-        later = self._write(found.sortWithinPartitions("w", "check", "doc_id").mapInArrow(_later, "w long, check int, ask long"), "w")
-        earlier = later.where("ask is not null").groupBy(F.col("ask").alias("sheet")).agg(F.collect_list(F.struct("w", "check")).alias("earlier"))
-        out = sheets.join(asked, "sheet", "left").join(earlier, "sheet", "left").select("sheet", "ids", "sizes", "packed", "keys", "earlier").mapInArrow(_cut(self.window), _CUT)
+        later = found.sortWithinPartitions("w", "check", "doc_id").mapInArrow(lambda rows: _later(rows, keep), "w long, check int, ask long")
+        later = self._write(later, "w") if keep else later
+        earlier = later.where("ask is not null").groupBy(F.col("ask").alias("sheet")).agg(F.collect_list("w").alias("ws"), F.collect_list("check").alias("checks"))
+        out = sheets.join(asked, "sheet", "left").join(earlier, "sheet", "left").select("sheet", "ids", "sizes", "packed", "keys", "ws", "checks").mapInArrow(_cut(self.window), _CUT)
 
         self.sheets.append(sheets)
         self.top = top if top is not None else self.top
