@@ -1,6 +1,7 @@
 """Training-data operators on small tables: odd rows, brute force, round trips."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -380,7 +381,7 @@ def test_word_ids_are_the_tokenizers():
 
 def test_scores(spark, corpus):
     rows = [(i, t) for i, t in corpus]
-    got = {x.doc_id: x for x in lm.score(table(spark, rows), TOKENIZER, sample=50).collect()}
+    got = {x.doc_id: x for x in lm.score(table(spark, rows), TOKENIZER, warm=50).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
     count, total = Counter(), 0
     for i, t in rows:
@@ -398,22 +399,82 @@ def test_scores(spark, corpus):
     assert lm.score(spark.createDataFrame([(0, None), (0, None), (None, "a")], "doc_id long, text string"), TOKENIZER).count() == 3
 
 
-def test_each_id_is_scored_once_and_sums_to_one():
-    count = np.bincount([5, 5, 9, lm.END], minlength=lm.VOCABULARY)
+def test_scores_by_a_plain_version(spark, corpus, monkeypatch):
+    """Scores from the model's parts, a word at a time; the same whether words meet their counts in a task or in a join."""
+    monkeypatch.setattr(lm, "STEPS", 30)
+    kept = {}
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **k: kept.setdefault("model", train(*a, **k)))
+    monkeypatch.setattr(lm, "refine", lambda m, rows: m)
+    corpus_counts = lm.corpus_counts
+    monkeypatch.setattr(lm, "corpus_counts", lambda *a: kept.setdefault("counts", corpus_counts(*a)))
+    rows = spark.createDataFrame(corpus, "doc_id long, text string")
+    got = {x.doc_id: x.score for x in lm.score(rows, TOKENIZER, warm=20).collect()}
+    counts, model = kept["counts"][1], kept["model"]
+    seen = Counter(w for i, t in corpus if zlib.crc32(str(i).encode()) % 10 for w in words((t or "").translate(LOWER)))
+    total, discount = seen.total(), float(counts.discounts[0])
+    freed = discount * len(seen) / total
+    for i, t in corpus:
+        own = words((t or "").translate(LOWER))
+        each = [encoder(TOKENIZER).ids([w.encode()])[0] for w in own]
+        scores, expect = lm.token_scores(model, [np.concatenate([*each, np.zeros(0, np.uint16)])]), math.log10(counts.ended)
+        for w, ids in zip(own, each, strict=True):
+            stop = (counts.lasts[ids] + 0.01) / (counts.subwords[ids] + 0.02)
+            spelled = 10.0 ** (scores[: len(ids)].sum() + np.log10(1 - stop[:-1]).sum() + np.log10(stop[-1])) if len(ids) else 10**lm.BLANK
+            scores = scores[len(ids) :]
+            p = 0.95 * max(seen[w] - discount, 0) / total + (0.05 + 0.95 * freed) * spelled
+            expect += math.log10(1 - counts.ended) + math.log10(p)
+        assert abs(got[i] - expect) < 1e-4 * abs(expect), i
+    monkeypatch.setattr(lm, "FREQUENT", 0.004)
+    kept.pop("counts")
+    joined = {x.doc_id: x.score for x in lm.score(rows, TOKENIZER, warm=20).collect()}
+    assert 0 < len(kept["counts"][1].hashes) < len(seen) and all(abs(joined[i] - got[i]) < 1e-4 * abs(got[i]) for i in got)
+
+
+def test_mass_is_one(spark, corpus):
+    """Of words known and spelled, in all and in a language; of a spelling's first subword, ended or going on."""
+    coded = spark.createDataFrame([(t or "", i % 3) for i, t in corpus], "text string, z int").withColumn("doc_id", F.lit(1).cast("long")).withColumn("row_key", F.lit(1).cast("long")).withColumn("learned", F.lit(True))
+    rows, counts = lm.corpus_counts(coded.select("doc_id", "row_key", "learned", "z", "text").mapInArrow(lm._code(TOKENIZER), lm._CODED), 2)
+    table = rows.toPandas()
+    for column in (0, 1, 2):
+        for trust in (0.0, 0.7, 1.0):
+            n = len(table)
+            known = trust * counts.own(table[f"c{column}"].to_numpy(), np.full(n, column)) + (1 - trust) * counts.own(table["c0"].to_numpy(), np.zeros(n, int))
+            assert abs((1 - lm.SHARE) * known.sum() + counts.spelled(np.array([column]), np.array([trust]))[0] - 1) < 1e-9
+    model = lm.train([np.arange(1, 70, dtype=np.uint16)], counts.subwords, steps=5, batch=8)
+    every = np.arange(lm.VOCABULARY)
+    first = np.concatenate([lm._logits(model, np.zeros((len(p), lm.WIDTH), np.float32) + 0.3, p)[1] for p in np.split(every, 13)]).astype(float) / math.log(10)
+    ended = counts.spelling(every, np.ones(lm.VOCABULARY, int), first)
+    twice = counts.spelling(np.repeat(every, 2), np.full(lm.VOCABULARY, 2), np.stack([first, np.zeros(lm.VOCABULARY)], 1).ravel())
+    stop = (counts.lasts + 0.01) / (counts.subwords + 0.02)
+    assert abs((10**ended).sum() + (10 ** (twice - np.log10(stop))).sum() - 1) < 1e-3
+
+
+def test_each_id_is_scored_once():
+    count = np.bincount([5, 5, 9], minlength=lm.VOCABULARY)
     model = lm.train([np.arange(1, 70, dtype=np.uint16)], count, steps=5, batch=8)
     texts = [np.array([], np.uint16), np.arange(1, 40, dtype=np.uint16), np.array([7], np.uint16)]
-    assert len(lm.token_scores(model, texts)) == 1 + 40 + 2
+    assert len(lm.token_scores(model, texts)) == 40
     alone = [lm.token_scores(model, [t]) for t in texts]
     assert np.allclose(np.concatenate(alone), lm.token_scores(model, texts, together=2), atol=1e-5)
-    every = [lm.token_scores(model, [np.array([3, i], np.uint16)])[1] for i in range(0, lm.VOCABULARY, 997)]
-    assert all(x < 0 for x in every)
     h = np.zeros((lm.VOCABULARY, lm.WIDTH), np.float32) + 0.3
     total = np.exp(lm._logits(model, h, np.arange(lm.VOCABULARY))[1].astype(float)).sum()
-    assert abs(total - 1) < 1e-2
+    assert abs(total - 1) < 1e-3
+
+
+def test_refining_averages_what_tasks_changed(spark):
+    rng = np.random.default_rng(1)
+    texts = [np.tile(rng.integers(1, 200, 9), 900).astype(np.uint16) for _ in range(8)]
+    model = lm.train(texts[:1], np.bincount(texts[0], minlength=lm.VOCABULARY), steps=20)
+    before = lm.token_scores(model, texts).sum()
+    untouched = model.embed[300 : lm.START].copy()
+    rows = spark.createDataFrame([(t.tobytes(),) for t in texts], "ids binary").repartition(3)
+    assert lm.token_scores(lm.refine(model, rows), texts).sum() > before and (model.embed[300 : lm.START] == untouched).all()
+    assert lm.refine(model, rows.limit(0)) is model
 
 
 def test_later_ids_do_not_matter():
-    count = np.bincount([5, lm.END], minlength=lm.VOCABULARY)
+    count = np.bincount([5], minlength=lm.VOCABULARY)
     model = lm.train([np.arange(1, 90, dtype=np.uint16)], count, steps=5, batch=8)
     a = np.arange(1, 60, dtype=np.uint16)
     b = a.copy()
