@@ -104,17 +104,27 @@ def _svm(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, c: float, epo
     return w * ratio, b
 
 
-def fit(text: list[str | None], label: list[int], c: float = 1.0, epochs: int = 20) -> Model:
-    """A model of whole texts and labels 0 or 1. With one class only, every score is that class's smoothed share."""
-    y = np.where(np.array(label, dtype=int) > 0, 1, -1)
-    if len(np.unique(y)) < 2:
-        share = (np.sum(y > 0) + 1) / (len(y) + 2)
-        return Model(np.zeros(PLACES, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+def fit(text: list[str | None], label: list[int], c: float = 1.0, epochs: int = 20, counts: tuple[int, int] | None = None) -> Model:
+    """A model of whole texts and labels 0 or 1; `counts` as in `fit_places`."""
     rows: list[np.ndarray] = []
     for batch in pa.table({"text": pa.array(text, pa.string())}).to_batches():
         for part in slices(batch):
             ends, place = features(part.column("text"))
             rows += np.split(place, ends[:-1])
+    return fit_places(rows, label, c, epochs, counts)
+
+
+def fit_places(rows: list[np.ndarray], label: list[int], c: float = 1.0, epochs: int = 20, counts: tuple[int, int] | None = None) -> Model:
+    """A model of rows' places and labels 0 or 1. With one class only, every score is that class's smoothed share.
+
+    `counts` are those of labels 0 and 1 among all labelled rows, of which the rows may be a sample by class: scores are
+    fitted as if each class stood for so many, so they don't depend on how much of a class was sampled.
+    """
+    y = np.where(np.array(label, dtype=int) > 0, 1, -1)
+    down, up = counts or (int(np.sum(y < 0)), int(np.sum(y > 0)))
+    if len(np.unique(y)) < 2:
+        share = (up + 1) / (up + down + 2)
+        return Model(np.zeros(PLACES, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
 
     def solve(use: np.ndarray) -> tuple[np.ndarray, float]:
         p = np.ones(PLACES)
@@ -134,19 +144,20 @@ def fit(text: list[str | None], label: list[int], c: float = 1.0, epochs: int =
         for i in np.flatnonzero(fold == k):
             margin[i] = w[rows[i]].sum() / np.sqrt(max(len(rows[i]), 1)) + b
     w, b = solve(np.arange(len(y)))
-    slope, offset = _platt(margin, y)
+    slope, offset = _platt(margin, y, np.where(y > 0, up / np.sum(y > 0), down / np.sum(y < 0)))
     return Model(w.astype(np.float32), float(b), slope, offset)
 
 
-def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the sigmoid by damped Newton steps on smoothed targets."""
-    up, down = np.sum(y > 0), np.sum(y < 0)
+def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the sigmoid by damped Newton steps on smoothed targets; a row stands for `weight` rows."""
+    up, down = weight[y > 0].sum(), weight[y < 0].sum()
+    weight = weight / weight.mean()
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -50, 50)))
-        g = np.array([np.sum((p - target) * margin), np.sum(p - target)])
-        v = p * (1 - p) + 1e-9
+        g = np.array([np.sum(weight * (p - target) * margin), np.sum(weight * (p - target))])
+        v = weight * p * (1 - p) + 1e-9
         h = np.array([[np.sum(v * margin * margin), np.sum(v * margin)], [np.sum(v * margin), np.sum(v)]]) + np.eye(2) * 1e-6
         step = np.linalg.solve(h, g)
         step *= min(1.0, 5 / max(np.abs(step).max(), 1e-12))
@@ -163,21 +174,46 @@ def held_out(doc_id: str = "doc_id", folds: int = FOLDS):
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE, folds: int = FOLDS) -> Model:
     """A model of `target` from labelled documents that are not held out; at most `sample` rows of each class.
 
-    Rows without id, label or match are not used; rows that repeat an id are one row each.
+    Rows without id, label or match are not used; rows that repeat an id are one row each, up to twice `sample` in all.
+    The driver gets the rows' places, 4 * PLACES bytes for each at most and mostly a few thousand, not their texts.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds=folds)).select("doc_id", F.col(target).cast("int").alias("label"))
-    ranked = [known.where(F.col("label") > 0), known.where(F.col("label") <= 0)]
+    ranked = [known.where(F.col("label") <= 0), known.where(F.col("label") > 0)]
     chosen = None
     for part in ranked:
         part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     # At most 2 * sample small rows: a proven bound for the broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label").limit(2 * sample)
+    placed = rows.mapInArrow(_places, "doc_id long, label int, places binary").collect()
+    order = sorted(placed, key=lambda r: (r["doc_id"], r["label"], r["places"]))
+    np.random.default_rng(11).shuffle(order)
+    return fit_places([np.frombuffer(r["places"], np.int32) for r in order], [r["label"] for r in order], counts=tuple(part.count() for part in ranked))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            ends, place = features(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label"), pa.array([x.tobytes() for x in np.split(place, ends[:-1])], pa.binary())], ["doc_id", "label", "places"])
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with the columns that docs has, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # PLACES floats, whatever the input
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(sent.value.scores(part.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` (doc_id by default), score and predicted; one row per row. A null text counts as empty."""
+    """docs' columns `keep` (doc_id by default; not score or predicted), score and predicted; one row per row. A null text
+    counts as empty; rows that repeat are scored each; equal texts get equal scores; other columns don't matter."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # PLACES floats, whatever the input
     keep = keep or ["doc_id"]

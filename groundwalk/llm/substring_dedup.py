@@ -320,21 +320,21 @@ def _kinds(df: DataFrame, *without: str) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields if f.name not in without]
 
 
-def squeezed_rows(docs: DataFrame) -> DataFrame:
-    """docs with `packed`, the text as a zstandard frame or null, in place of text."""
-    kept = _kinds(docs, "text")
+def squeezed_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with `packed`, the text as a zstandard frame or null, in place of the column `text`."""
+    kept = _kinds(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            packed = pa.array([None if t is None else pack(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            packed = pa.array([None if t is None else pack(t.encode()) for t in batch.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c, _ in kept], packed], [*[c for c, _ in kept], "packed"])
 
     return docs.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in [*kept, ("packed", "binary")]))
 
 
-def opened_rows(rows: DataFrame) -> DataFrame:
-    """rows with their text again: `kept` where there is one, else what `packed` holds."""
+def opened_rows(rows: DataFrame, name: str = "text") -> DataFrame:
+    """rows with their text again, as the column `name`: `kept` where there is one, else what `packed` holds."""
     other = _kinds(rows, "packed", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +342,9 @@ def opened_rows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             both = zip(batch.column("kept").to_pylist(), batch.column("packed").to_pylist(), strict=True)
             text = [k if k is not None else None if p is None else unpack(p).decode() for k, p in both]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c, _ in other], pa.array(text, pa.string())], [*[c for c, _ in other], "text"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c, _ in other], pa.array(text, pa.string())], [*[c for c, _ in other], name])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in [*other, ("text", "string")]))
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in [*other, (name, "string")]))
 
 
 class FingerprintIndex:

@@ -238,6 +238,19 @@ def test_decontamination(spark):
     assert decontaminate.contamination(table(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """The same leaks if the benchmark's shingles are taken in many blocks; hot and repeated shingles."""
+    items = [(i, prose(50 + i, 25 + i)) for i in range(6)] + [(9, "to be or not " * 12), (10, "one two three")]
+    docs = [(i, prose(i, 40) + " " + items[i % 8][1] + " " + prose(-i, 9)) for i in range(16)] + [(99, "to be or not " * 11 + "now")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    truth = leaks_truth(docs, items)
+    for bound in (decontaminate.BROADCAST_SHINGLES, 40):
+        monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", bound)
+        found = decontaminate.contamination(table(spark, docs), bench).collect()
+        assert {(x.doc_id, x.item_id): x.similarity for x in found} == truth
+    assert len(truth) == 17
+
+
 # ---- classifier ---------------------------------------------------------------------------------------------
 
 
@@ -255,6 +268,27 @@ def test_classifier(spark):
     assert len(quality.fit([], []).scores(pa.array(["c"]))) == 1
 
 
+def test_scores_keep_the_share_of_labels(spark, monkeypatch):
+    """85 of 100 rows are good and texts say little: scores have that mean, however few of a class are sampled."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(("fine" if i % 100 < 85 else "poor", "w1", "w2", "w3", "w4", "w5")) if rng.random() < 0.1 else f"w{rng.randrange(40)}" for _ in range(12))) for i in range(3000)]
+    docs, labels = table(spark, rows), spark.createDataFrame([(i, int(i % 100 < 85)) for i, _ in rows], "doc_id long, quality int")
+    for sample in (10_000, 200):
+        scores = [x.score for x in quality.classify(docs, quality.train(docs, labels, sample=sample)).collect()]
+        assert abs(sum(scores) / len(scores) - 0.85) < 0.05, sample
+
+
+def test_classifier_odd_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    docs = table(spark, [(1, "a b"), (1, "a b"), (1, "c"), (None, None)])
+    rows = quality.classify(docs, quality.train(docs, none)).collect()
+    assert [x.score for x in rows] == [0.5] * 4
+    both = spark.createDataFrame([(1, 1), (1, 0), (1, 1)], "doc_id long, quality int")
+    scores = [x.score for x in quality.classify(docs, quality.train(docs, both)).collect()]
+    assert scores[0] == scores[1] and quality.classify(docs.limit(0), quality.train(docs, both)).count() == 0
+    assert quality.accepted(docs, quality.train(docs, none)).columns == docs.columns
+
+
 # ---- packing ------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,8 @@
 import hashlib
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 from test_ops import TOKENIZER, check_packing, leaks_truth, near_truth, substring_truth
 
 from groundwalk.llm import quality
@@ -53,6 +55,22 @@ def test_pipeline_odd_rows(spark):
         assert stage(spark, docs.limit(0), DATA).count() == 0
 
 
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_names_that_clash(spark, stage):
+    """Columns of the caller that are called as inner ones are kept, unchanged."""
+    extra = ["score", "predicted", "kept", "packed", "text_hash", "block", "row", "h", "sheet", "c0", "component_id", "label"]
+    plain = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    docs = plain.select(*[F.concat(F.lit(f"{name} "), F.col("doc_id")).alias(name) for name in extra], "*")
+    got = dict(corpus_pipeline.STAGES)[stage](spark, docs, DATA)
+    if stage == "packing":
+        assert got.select("doc_id").distinct().count() == 60
+        return
+    rows = got.collect()
+    assert got.columns == docs.columns and 0 < len(rows) <= 60
+    assert all(r[name] == f"{name} {r.doc_id}" for r in rows for name in extra)
+    assert {r.doc_id for r in rows} == {r.doc_id for r in dict(corpus_pipeline.STAGES)[stage](spark, plain, DATA).collect()}
+
+
 def test_registered():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES]
     assert sorted(numbers) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
