@@ -100,7 +100,8 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, by:
     for k, shingles in sorted((r["k"], r["shingles"]) for r in facts):
         # Each step is written, or Catalyst would move copies of its costly expressions into filters below joins.
         own = bench.where(F.col("k") == k).select("which", "n", _shingles(F.col("item"), k).alias("hashes")).dropDuplicates(["which"])
-        own = materialize(own.withColumn("item_print", simhash(F.col("hashes"))), "shingles")
+        own = materialize(own, "shingles")
+        own = materialize(own.withColumn("item_print", simhash(F.col("hashes"))), "prints")
         keys = own.select("which", "n", F.posexplode("hashes").alias("q", "h"))
         words = texts.select("row", words_of(F.col("text")).alias("words")).select("row", F.size("words").alias("size"), F.when(F.size("words") >= k, _shingles(F.col("words"), k)).alias("all"))
         at = words.select("row", "size", F.posexplode("all").alias("p", "h"))
