@@ -103,8 +103,10 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, by:
         own = materialize(own, "shingles")
         own = materialize(own.withColumn("item_print", simhash(F.col("hashes"))), "prints")
         keys = own.select("which", "n", F.posexplode("hashes").alias("q", "h"))
-        words = texts.select("row", words_of(F.col("text")).alias("words")).select("row", F.size("words").alias("size"), F.when(F.size("words") >= k, _shingles(F.col("words"), k)).alias("all"))
-        at = words.select("row", "size", F.posexplode("all").alias("p", "h"))
+        # The words are bound to a variable, or each access to one of them would cut the text anew.
+        shingled = lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(_hash(w, i, k).alias("h"), F.size(w).alias("size"))))  # noqa: B023, E731
+        every = F.get(F.transform(F.array(words_of(F.col("text"))), shingled), F.lit(0))
+        at = texts.select("row", F.posexplode(every).alias("p", "x")).select("row", F.col("x.size").alias("size"), "p", F.col("x.h").alias("h"))
         blocks, hits = -(-shingles // BROADCAST_SHINGLES), None
         for b in range(blocks):
             block = F.broadcast(keys.where(F.pmod(F.xxhash64("which", "q"), F.lit(blocks)) == b))  # its size is bounded
