@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,4 +33,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component_id"))).distinct()
         before = now
-        edges = materialize(_small_star(_large_star(edges).distinct()).where("u <> v").distinct(), "edges")
+        last, edges = edges, materialize(_small_star(_large_star(edges).distinct()).where("u <> v").distinct(), "edges")
+        discard(last)

@@ -114,8 +114,8 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, by:
             hits = part if hits is None else hits.union(part)
         proposed = materialize(_starts(hits, k, threshold), "starts")
         there = proposed.select("row", "n", "start").distinct().withColumnRenamed("row", "row_")
-        met = texts.dropDuplicates(["row"]).select("row", words_of(F.col("text")).alias("words")).join(there, F.col("row") == F.col("row_"))
-        windows = materialize(met.select("row", "n", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("window")).repartition("row", "start"), "windows")
+        met = texts.join(there, F.col("row") == F.col("row_")).select("row", "n", "start", F.slice(words_of(F.col("text")), F.col("start") + 1, F.col("n")).alias("window"))
+        windows = materialize(met.dropDuplicates(["row", "n", "start"]), "windows")
         windows = materialize(windows.select("row", "n", "start", F.size("window").alias("n_words"), _shingles(F.col("window"), k).alias("own")), "own")
         prints = windows.select("row", "n", "start", "n_words", simhash(F.col("own")).alias("print"))
         left = materialize(proposed.join(prints, ["row", "n", "start"]), "prints")

@@ -1,5 +1,5 @@
 """Tables cut out of a long plan: the package's own, under a name that the operators share."""
 
-from ..scratch import materialize, shared_dir
+from ..scratch import discard, materialize, shared_dir
 
-__all__ = ["materialize", "shared_dir"]
+__all__ = ["discard", "materialize", "shared_dir"]
