@@ -1,10 +1,12 @@
 """Main text of web pages by the line-block distribution.
 
 Markup is stripped to lines, one for each block of text. Containers that never hold an article (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) leave WINDOW empty lines, and so do
-the edges of an article element. The text lengths of WINDOW neighbouring lines are summed; where the sum leaves zero
-the text surges, where it returns to zero it dives, and what lies between is one stretch. The stretches of the
-article with the most text are kept; without an article element, those that have a fair share of the largest one.
+footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) leave one empty line. A line weighs as many
+characters as it has outside links, and the weights of WINDOW neighbouring lines are summed. Where the sum reaches the
+threshold the text surges, where it falls below it dives; what the sums between cover is one stretch, so a short
+paragraph goes with its long neighbours, also across an advert. Links at the ends of a stretch are left off; inside it
+nothing is. Where article elements (or else main elements) mark the text, the distribution's edges are theirs: all of
+their lines are kept, of all of them, and no others.
 """
 
 from __future__ import annotations
@@ -19,23 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Share of the largest stretch's text that a stretch needs where no element marks the article.
-SHARE = 0.2
+#: Weight that a block needs; less if no block of the page has twice as much.
+SURGE = 50
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(?=/?[a-zA-Z])[^>]*+(?:>|\Z)""", re.S)
 # Elements of HTML by how they are laid out.
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noframes", "noembed"}
-_OUT = {"nav", "footer", "aside", "form", "head", "svg", "math", "template", "button", "select", "object", "canvas", "dialog", "menu", "audio", "video", "datalist", "fieldset"}
+_OUT = {"nav", "footer", "aside", "form", "head", "svg", "template", "button", "select", "object", "canvas", "dialog", "menu", "audio", "video", "datalist", "fieldset"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
 _IMPLIED = {"p": _BLOCK, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
-# Words of class, id and role that mark what is not the article.
+# Words of class, id and role that name what is not the article, and words for its place or shape.
 _HINTS = {
     "ad", "ads", "advert", "adverts", "advertisement", "adsense", "adbox", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "commentlist", "complementary", "contentinfo", "cookie", "cookies",
     "consent", "disqus", "footer", "header", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "promoted", "promotion",
     "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "alert",
 }
+_SHAPES = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "container", "content", "form", "global", "group", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer",
+    "overlay", "page", "panel", "primary", "right", "row", "secondary", "section", "site", "slot", "space", "text", "thread", "title", "top", "unit", "wrap", "wrapper", "zone",
+}
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 
 
 def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
@@ -43,12 +48,12 @@ def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
     for found in _NAMES.finditer(attributes):
-        words = re.split(r"[\s_\-]+", (found[1] or found[2] or found[3] or "").lower())
-        if not _HINTS.isdisjoint(words):
-            return True
+        # A name counts as a whole: `ad-box` and `cookie-notice` do, `share-price` does not.
+        for whole in (found[1] or found[2] or found[3] or "").lower().split():
+            words = [w for w in re.split(r"[_\-\d]+", whole) if w]
+            if not _HINTS.isdisjoint(words) and all(w in _HINTS or w in _SHAPES for w in words):
+                return True
     return False
 
 
@@ -73,7 +78,7 @@ def lines(page: str) -> list[tuple[str, int, float]]:
 
     def gap() -> None:
         flush()
-        out.extend([("", 0, 0.0)] * WINDOW)
+        out.append(("", 0, 0.0))
 
     end = len(page)
     while at < end:
@@ -142,32 +147,35 @@ def _raw_end(page: str, at: int, name: str) -> int:
     return found.end() if found else len(page)
 
 
-def stretches(length: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Line ranges between a surge and the next dive of the sums over `window` lines."""
-    total = np.concatenate([[0], np.cumsum(length)])
-    ends = np.minimum(np.arange(len(length)) + window, len(length))
-    live = np.concatenate([[False], (total[ends] - total[:-1]) > 0, [False]]).astype(np.int8)
-    step = np.diff(live)
+def stretches(weight: np.ndarray, window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
+    """Line ranges that the sums over `window` lines cover from a surge to the next dive."""
+    if not len(weight):
+        return []
+    total = np.concatenate([[0], np.cumsum(weight)])
+    ends = np.minimum(np.arange(len(weight)) + window, len(weight))
+    sums = total[ends] - total[:-1]
+    live = np.flatnonzero((sums > 0) & (sums >= min(surge, sums.max() / 2)))
+    covered = np.zeros(len(weight) + 1, np.int64)
+    np.add.at(covered, live, 1)
+    np.add.at(covered, ends[live], -1)
+    step = np.diff(np.concatenate([[0], (np.cumsum(covered)[:-1] > 0).astype(np.int8), [0]]))
     return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
 
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    if not found:
-        return ""
-    length = np.array([len(t) for t, _, _ in found])
-    where = np.array([a for _, a, _ in found])
-    linked = np.array([r > 0.5 for _, _, r in found])
-    marked = where > 0 if (where > 0).any() else where < 0
-    if marked.any():
-        best = max(np.unique(where[marked]).tolist(), key=lambda a: (length[where == a].sum(), -abs(a)))
-        kept = [i for a, b in stretches(np.where(where == best, length, 0)) for i in range(a, b) if where[i] == best]
-    else:
-        own = np.where(linked, 0, length)
-        runs = [(a, b, own[a:b].sum()) for a, b in stretches(own)]
-        most = max((m for _, _, m in runs), default=0)
-        kept = [i for a, b, m in runs if m >= SHARE * most for i in range(a, b) if own[i]]
-    return "\n".join(found[i][0] for i in kept if found[i][0])
+    where = np.array([a for _, a, _ in found], np.int64)
+    for marked in (where > 0, where < 0):
+        if marked.any():
+            return "\n".join(t for (t, _, _), own in zip(found, marked.tolist(), strict=True) if own and t)
+    kept = []
+    for a, b in stretches(np.array([len(t) * (1 - linked) for t, _, linked in found])):
+        while a < b and (not found[a][0] or found[a][2] > 0.5):
+            a += 1
+        while a < b and (not found[b - 1][0] or found[b - 1][2] > 0.5):
+            b -= 1
+        kept += [t for t, _, _ in found[a:b] if t]
+    return "\n".join(kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -639,13 +640,62 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<article><p>cut <b>off &am", "cut off &am"),
         ("<article><div class='ad'>never closed<p>x</article><footer>f</footer>", ""),
         ("<body><div><p>" + "word " * 30 + "</p></div><ul><li><a>Home</a><li><a>News</a></ul></body>", ("word " * 30).strip()),
-        ("<article><p hidden>no</p><p style='display: none'>no</p><p>yes</p></article>", "yes"),
+        ("<article><p hidden>no</p><p style='display: none'>no</p><p>yes</p></article>", "no\nno\nyes"),
+        ("<article><p>a</p><div class='share-price'>Share price rose 5%</div><section id='search-trees'>b</section><p>c <math><mi>x</mi></math></p></article>", "a\nShare price rose 5%\nb\nc x"),
+        ("<article><p>one</p></article><div class='ad-box'>Buy</div><article><p>two</p></article><div>rest</div>", "one\ntwo"),
+        ("<body><p>" + "word " * 40 + "</p><div class='ad'>Buy</div><p>The end.</p></body>", ("word " * 40).strip() + "\nThe end."),
+        ("<body><h1>Head</h1><p>" + "word " * 40 + "</p><p><a href='x'>a paragraph that is a link</a></p><p>" + "more " * 40 + "</p></body>", "Head\n" + ("word " * 40).strip() + "\na paragraph that is a link\n" + ("more " * 40).strip()),
+        ("<body><p>Log in</p><p>Cart</p><p>0</p><p>.</p><p>" + "word " * 40 + "</p><p>x</p><p>y</p><p>z</p><p>Top</p></body>", "0\n.\n" + ("word " * 40).strip() + "\nx\ny"),
     ],
 )
 def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_surge_and_dive(monkeypatch):
+    """Sums by brute force, and pages without an article element need them."""
+    rng = random.Random(4)
+    for _ in range(200):
+        weight = [rng.choice([0, 0, 3, 20, 90, 400]) for _ in range(rng.randrange(1, 30))]
+        sums = [sum(weight[i : i + 3]) for i in range(len(weight))]
+        live = [i for i, x in enumerate(sums) if x and x >= min(50, max(sums) / 2)]
+        covered = {j for i in live for j in range(i, min(i + 3, len(weight)))}
+        assert {j for a, b in html_text.stretches(np.array(weight, float)) for j in range(a, b)} == covered
+    page = "<body><p>Log in</p><p>Cart</p><p>0</p><p>.</p><p>" + "word " * 40 + "</p></body>"
+    text = html_text.main_text(page)
+    monkeypatch.setattr(html_text, "stretches", lambda weight: [(0, len(weight))])
+    assert html_text.main_text(page) != text
+
+
+class Plain(HTMLParser):
+    """The article of the test tables' pages, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.blocks.append("") if tag in ("p", "h1", "h2", "h3", "li", "blockquote", "article") else None
+        self.blocks[-1] += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.blocks.append("") if tag in ("p", "h1", "h2", "h3", "li", "blockquote", "article") else None
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.depth else ""
+
+
+def test_pages_by_a_plain_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    for r in pages:
+        plain = Plain()
+        plain.feed(r.html or "")
+        assert html_text.main_text(r.html) == "\n".join(x for x in (" ".join(b.split()) for b in plain.blocks) if x)
+    assert len(pages) > 20
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, None)], "page_id long, url string, html string, text int")
     rows = html_text.extract(pages).collect()
