@@ -25,11 +25,14 @@ _MUL = _RNG.integers(1, 2**64, HASHES, dtype=U64) | U64(1)
 #: Bytes that end a word: all of ASCII but letters and digits.
 _FOLD = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], dtype=np.uint8)
 
-# Notices as the licenses' own texts ask for them.
+# Notices as the licenses' own texts ask for them, and whole short licenses, named -text.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "0BSD-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -38,6 +41,7 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Released under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
@@ -107,6 +111,16 @@ def _best_span(grams: np.ndarray, shingles: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def _closest(hits: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """Of (template, first word, words, containment), those of which no other one that fits better, or as well and is
+    longer, covers more than half: so one license of a family is named where its siblings share most of their text."""
+    kept: list[tuple[int, int, int, float]] = []
+    for t, first, n, share in sorted(hits, key=lambda h: (-h[3], -h[2], h[1], h[0])):
+        if all(2 * (min(first + n, a + m) - max(first, a)) <= n for _, a, m, _ in kept):
+            kept.append((t, first, n, share))
+    return sorted(kept)
+
+
 def _scan(templates: Templates, containment: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,20 +131,21 @@ def _scan(templates: Templates, containment: float):
                 if not len(grams):
                     continue
                 ids = part.column("doc_id").to_pylist()
+                found: dict[int, list[tuple[int, int, int, float]]] = {}
                 for starts, t in templates.retrieve(grams):
                     reach = 5 * (len(templates.sets[t]) // 4 + 1) + len(templates.sets[t])
                     a = np.searchsorted(words.first, starts, "right") - 1
                     b = np.searchsorted(words.first, np.minimum(starts + reach, words.first[-1] - 1), "right") - 1
                     docs = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b, strict=True)]))
-                    for d in docs[docs < len(ids)]:
+                    for d in docs[docs < len(ids)].tolist():
                         own = grams[words.first[d] : max(words.first[d + 1] - SHINGLE + 1, words.first[d])]
                         common, first, last = _best_span(own, templates.sets[t])
                         if common >= containment * len(templates.sets[t]):
-                            out["doc_id"].append(ids[d])
-                            out["license_id"].append(templates.names[t])
-                            out["first_word"].append(first)
-                            out["n_words"].append(last - first + SHINGLE)
-                            out["containment"].append(round(common / len(templates.sets[t]), 6))
+                            found.setdefault(d, []).append((t, first, last - first + SHINGLE, common / len(templates.sets[t])))
+                for d, hits in sorted(found.items()):
+                    for t, first, n, share in _closest(hits):
+                        for column, value in zip(out.values(), (ids[d], templates.names[t], first, n, round(share, 6)), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("license_id", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())]))
 
     return run
@@ -140,7 +155,8 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, containment: floa
     """(doc_id, license_id, first_word, n_words, containment) for each row of docs and template that it contains.
 
     Containment is the share of the template's distinct shingles that stand in one span of the document at most a
-    quarter longer than the template; the best and earliest span is given. Null and empty texts contain nothing;
+    quarter longer than the template; the best and earliest span is given. Of templates whose spans overlap by more than
+    half, the one that fits best is named, the longer one among equals. Null and empty texts contain nothing;
     rows that repeat are scanned each for itself; a null doc_id is kept; other columns don't matter. The templates
     are given with the call, so they go to the tasks in its closure. No shuffle.
     """

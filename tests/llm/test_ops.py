@@ -620,6 +620,35 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def contained(text, template):
+    """Best share of the template's shingles in a span of the text at most a quarter longer, by brute force."""
+    shingles = lambda t: [tuple(x) for w in [re.findall(r"[a-z0-9\\x80-\\U0010ffff]+", t.translate(LOWER))] for x in zip(*[w[i:] for i in range(5)], strict=False)]
+    own, wanted = shingles(text), set(shingles(template))
+    room = len(wanted) + -(-len(wanted) // 4)
+    at = [i for i, x in enumerate(own) if x in wanted]
+    return max((len({x for x in own[a : a + room] if x in wanted}) for a in at), default=0) / len(wanted)
+
+
+def test_licenses_against_brute_force(spark):
+    """Edited copies in very long texts: all that reach the containment are found, siblings apart from each other."""
+    rng = random.Random(8)
+    rows, truth = [], set()
+    for i, (name, text) in enumerate(list(licenses.TEMPLATES.items()) * 6):
+        w = text.split()
+        for _ in range(i // len(licenses.TEMPLATES) * len(w) // 150):
+            w[rng.randrange(len(w))] = "edited"
+        rows.append((i, f"{prose(i, rng.choice([5, 300, 9000]))} {' '.join(w)} {prose(-i, 40)}"))
+        best = {n: contained(rows[-1][1], t) for n, t in licenses.TEMPLATES.items()}
+        if best[name] >= 0.8 and best[name] == max(best.values()) and sum(len(licenses.TEMPLATES[n]) >= len(text) for n, x in best.items() if x == best[name]) == 1:
+            truth.add((i, name))
+    found = {(x.doc_id, x.license_id): x.containment for x in licenses.scan(table(spark, rows)).collect()}
+    missed = truth - set(found)
+    assert len(truth) > 60 and len(missed) <= 0.1 * len(truth), missed
+    text = {n: licenses.TEMPLATES[n] for n in ("BSD-2-Clause-text", "BSD-3-Clause-text", "MIT-text", "MIT-grant")}
+    named = {(x.doc_id, x.license_id) for x in licenses.scan(table(spark, [(i, t) for i, t in enumerate(text.values())] * 2)).collect()}
+    assert named == set(enumerate(text))
+
+
 # ---- pages --------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
