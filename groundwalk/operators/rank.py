@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import bucketed, discard, materialize
 from .graph import Graph
 
 TOLERANCE, MAX_ITERATIONS = 1e-8, 100
 PACKED_EDGES, BROADCAST_VERTICES = 8_000_000, 2_000_000
+#: Edges of a source that one bucket holds; a source of more is dealt over several.
+HUB = 1_000_000
 ENGINES = ("dense", "common", "parallel")
 #: Id of the ground in the dense engine; vertex ids have 32 bits.
 GROUND = 1 << 40
@@ -136,16 +138,41 @@ def packed(graph: Graph, tolerance: float = TOLERANCE, max_iterations: int = MAX
 # ---- distributed --------------------------------------------------------------------------------------------
 
 
-def gather(edges: DataFrame, contributions: DataFrame, strategy: str) -> DataFrame:
-    """(v, x): what its in-edges bring each vertex. contributions: (v, c)."""
-    side = contributions.select(F.col("v").alias("src"), "c")
-    met = edges.join(F.broadcast(side) if strategy == "pull" else side, "src")
+def by_source(graph: Graph) -> DataFrame:
+    """(k, dst, mult): edges in buckets of k, which is their source, or for a source of more than HUB edges one of its parts.
+    Written once; no iteration moves them."""
+    degree = graph.vertices.select(F.col("v").alias("src"), _parts(F.col("out_degree")).alias("parts"))
+    dealt = graph.edges.join(degree, "src").select(F.xxhash64("src", F.pmod(F.xxhash64("dst"), "parts")).alias("k"), "src", "dst", "mult")
+    buckets = _buckets(graph)
+    return bucketed(dealt.repartition(buckets, "k"), "k", buckets, "edges")
+
+
+def _buckets(graph: Graph) -> int:
+    return int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _parts(out_degree):
+    return F.ceil(F.greatest(out_degree, F.lit(1)) / HUB)
+
+
+def gather(edges: DataFrame, state: DataFrame, strategy: str) -> DataFrame:
+    """(v, x): what its in-edges bring each vertex. state: (v, out_degree, c). edges: (src, dst, mult), for "shuffle" those
+    of `by_source`."""
+    if strategy == "shuffle":
+        sent = state.where("out_degree > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.col("out_degree")) - 1)))
+        side = sent.select(F.xxhash64(F.col("v"), F.col("part")).alias("k"), F.col("v").alias("from"), "c")
+        # The sources' equality is no key of the join, as the buckets are of k alone.
+        met = edges.join(side, "k").where(F.col("src") - F.col("from") == 0)
+    else:
+        met = edges.join(F.broadcast(state.select(F.col("v").alias("src"), "c")), "src")
     return met.groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("mult") * F.col("c")).alias("x"))
 
 
-def step(graph: Graph, state: DataFrame, ground: float, strategy: str) -> DataFrame:
+def step(graph: Graph, state: DataFrame, ground: float, strategy: str, edges: DataFrame | None = None) -> DataFrame:
     """The next state (v, out_degree, s, p, c): new score, previous score, next contribution."""
-    brought = gather(graph.edges, state.select("v", "c"), strategy)
+    if edges is None:
+        edges = by_source(graph) if strategy == "shuffle" else graph.edges
+    brought = gather(edges, state.select("v", "out_degree", "c"), strategy)
     s = F.lit(ground / graph.n) + F.coalesce("x", F.lit(0.0))
     new = state.select("v", "out_degree", F.col("s").alias("p")).join(brought, "v", "left").select("v", "out_degree", "p", s.alias("s"))
     return new.withColumn("c", F.col("s") / (F.col("out_degree") + 1))
@@ -155,19 +182,25 @@ def first_state(graph: Graph) -> DataFrame:
     return graph.vertices.select("v", "out_degree", F.lit(1.0).alias("s"), F.lit(1.0).alias("p"), (F.lit(1.0) / (F.col("out_degree") + 1)).alias("c"))
 
 
-def _observed(df: DataFrame, name: str, **sums) -> tuple[DataFrame, dict]:
-    """df written, with sums that its only pass has counted."""
+def _observed(df: DataFrame, name: str, buckets: int = 0, **sums) -> tuple[DataFrame, dict]:
+    """df written, in `buckets` of v if asked for, with sums that its only pass has counted."""
     seen = Observation(f"{name}-{uuid.uuid4().hex}")
-    kept = materialize(df.observe(seen, *[v.alias(k) for k, v in sums.items()]), name)
+    df = df.observe(seen, *[v.alias(k) for k, v in sums.items()])
+    kept = bucketed(df, "v", buckets, name) if buckets else materialize(df, name)
     return kept, {k: v or 0.0 for k, v in seen.get.items()}
 
 
 def _distributed(graph: Graph, tolerance: float, max_iterations: int, strategy: str) -> RankResult:
-    state, seen = _observed(first_state(graph), "state", given=F.sum("c"))
+    buckets, edges, first = 0, graph.edges, first_state(graph)
+    if strategy == "shuffle":
+        buckets, edges = _buckets(graph), by_source(graph)
+        first = first.repartition(buckets, "v")
+    state, seen = _observed(first, "state", buckets, given=F.sum("c"))
     ground, trace, converged = 0.0, [], False
     for k in range(1, max_iterations + 1):
-        gained = seen["given"]
-        state, seen = _observed(step(graph, state, ground, strategy), "state", given=F.sum("c"), moved=F.sum(F.abs(F.col("s") - F.col("p"))))
+        gained, last = seen["given"], state
+        state, seen = _observed(step(graph, state, ground, strategy, edges), "state", buckets, given=F.sum("c"), moved=F.sum(F.abs(F.col("s") - F.col("p"))))
+        discard(last)
         delta = abs(gained - ground) + seen["moved"]
         ground = gained
         trace.append((k, delta))
@@ -210,9 +243,14 @@ def _dense(graph: Graph, tolerance: float, max_iterations: int) -> RankResult:
     return RankResult(ranks, len(trace), converged, trace)
 
 
+def compare(graph: Graph, engine: str = "parallel", max_iterations: int = MAX_ITERATIONS) -> tuple[DataFrame, RankResult, RankResult]:
+    """(vertex, rank, truth) of an engine and the dense engine, and both results."""
+    fast, truth = rank(graph, engine, max_iterations=max_iterations), rank(graph, "dense", max_iterations=max_iterations)
+    return fast.ranks.join(truth.ranks.withColumnRenamed("rank", "truth"), "vertex", "full_outer"), fast, truth
+
+
 def verify(graph: Graph, engine: str = "parallel", max_iterations: int = MAX_ITERATIONS) -> dict:
     """Sizes, iterations of the engine and of the dense engine, and the largest difference of their ranks."""
-    fast, truth = rank(graph, engine, max_iterations=max_iterations), rank(graph, "dense", max_iterations=max_iterations)
-    both = fast.ranks.join(truth.ranks.withColumnRenamed("rank", "truth"), "vertex", "full_outer")
+    both, fast, truth = compare(graph, engine, max_iterations)
     most = both.agg(F.coalesce(F.max(F.abs(F.col("rank") - F.col("truth"))), F.lit(0.0))).first()[0]
     return {"vertices": graph.n, "edges": graph.m, "engine": engine, "iterations": fast.iterations, "dense_iterations": truth.iterations, "max_abs_difference": most}

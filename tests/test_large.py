@@ -1,8 +1,11 @@
 """Graphs above the bound of a packed run."""
 
+import pytest
+
 from groundwalk.operators import exact
 from groundwalk.operators import graph as g
 from groundwalk.operators import rank as r
+from groundwalk.plans import results
 
 
 def test_above_the_packed_bound(spark, monkeypatch):
@@ -19,3 +22,33 @@ def test_above_the_packed_bound(spark, monkeypatch):
     assert large.keys() == common.keys() and all(abs(large[v] - x) < 1e-12 for v, x in common.items())
     found = exact.exact_rank(rows.repartition(3), "i", max_iterations=4)
     assert found.trace == packed.trace and ranks(found) == ranks(packed)
+
+
+def test_hubs_are_dealt_and_edges_stay(spark, monkeypatch):
+    """Ranks don't depend on how a source's edges are dealt, and no iteration shuffles the edges."""
+    edges = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(i, (i * 7) % 60) for i in range(60)] * 2, "src long, dst long")
+    graph = g.build_graph(edges)
+    truth = {x.vertex: x.rank for x in r.rank(graph, strategy="packed", max_iterations=6).ranks.collect()}
+    for hub in (r.HUB, 5):
+        monkeypatch.setattr(r, "HUB", hub)
+        found = r.rank(graph, strategy="shuffle", max_iterations=6)
+        assert all(abs(x.rank - truth[x.vertex]) < 1e-12 for x in found.ranks.collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = r.gather(r.by_source(graph), r.first_state(graph), "shuffle")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = next(line for line in plan.splitlines() if "groundwalk_edges" in line)
+    above = plan.splitlines()[plan.splitlines().index(scan) - 3 : plan.splitlines().index(scan)]
+    assert "Bucketed: true" in scan and not any("Exchange" in line for line in above)
+
+
+def test_runs_as_csv(tmp_path, spark):
+    path = str(tmp_path / "runs.csv")
+    for threads, ms in ((1, 80.0), (4, 25.0)):
+        results.append(path, {"experiment": "scaling", "graph": "x", "threads": threads, "compute_ms": ms})
+    with pytest.raises(ValueError, match="no such"):
+        results.append(path, {"other": 1})
+    rows = spark.read.csv(path, header=True, inferSchema=True)
+    assert rows.columns == results.COLUMNS
+    assert [(x.threads, x.speedup, x.efficiency) for x in results.speed_up(rows).orderBy("threads").collect()] == [(1, 1.0, 1.0), (4, 3.2, 0.8)]
