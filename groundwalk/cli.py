@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import shutil
 import sys
 import time
 from pathlib import Path
@@ -56,6 +57,7 @@ def parser() -> argparse.ArgumentParser:
         command.add_argument("--engine", type=_choice(r.ENGINES), default="parallel")
         command.add_argument("--graph", type=_choice(tuple(g.STORAGE)), default="out-of-core")
         command.add_argument("--threads", type=_at_least(1))
+        command.add_argument("--memory-mib", type=_at_least(1), help="memory for edges: sets the number of partitions of an out-of-core graph")
         command.add_argument("--max-iterations", type=_at_least(1), default=r.MAX_ITERATIONS)
     generated = commands.add_parser("generate", help="write a random power-law graph")
     generated.add_argument("output", metavar="out.csv")
@@ -83,8 +85,10 @@ def _single_file(write, path: str) -> None:
     parts = sorted(Path(folder).glob("part-*.csv"))
     with open(path, "wb") as out:
         for i, part in enumerate(parts):
-            lines = part.read_bytes().splitlines(keepends=True)
-            out.writelines(lines if i == 0 else lines[1:])
+            with open(part, "rb") as own:
+                if i:
+                    own.readline()  # the names of the columns stand once
+                shutil.copyfileobj(own, out)
     for left in Path(folder).iterdir():
         left.unlink()
     Path(folder).rmdir()
@@ -100,7 +104,11 @@ def _print_ranks(ranks: DataFrame, limit: int | None) -> None:
 
 def _built(spark: SparkSession, options: argparse.Namespace) -> g.Graph:
     threads = options.threads or os.cpu_count() or 1
-    return g.build_graph(sources.read_edges(spark, options.input), options.graph, 4 * threads)
+    edges = sources.read_edges(spark, options.input)
+    if options.graph != "out-of-core" or options.memory_mib is None:
+        return g.build_graph(edges, options.graph, 4 * threads)
+    most = planner.max_edges_per_bin(options.memory_mib << 20, g.vertex_set(edges).count())
+    return g.build_graph(edges, options.graph, max_edges_per_bin=most)
 
 
 def _rank(spark: SparkSession, options: argparse.Namespace) -> None:
@@ -117,7 +125,9 @@ def _rank(spark: SparkSession, options: argparse.Namespace) -> None:
     print(f"preprocess: {built * 1000:.1f} ms\ncompute: {took * 1000:.1f} ms")
     print(f"vertices: {graph.n}\nedges: {graph.m}")
     if options.graph == "out-of-core":
-        heap = spark.sparkContext._jvm.Runtime.getRuntime().maxMemory()
+        heap = options.memory_mib << 20 if options.memory_mib else spark.sparkContext._jvm.Runtime.getRuntime().maxMemory()
+        bins = graph.edges.rdd.getNumPartitions()
+        print(f"heap ceiling: {heap / 2**20:.0f} MiB\npasses: {planner.waves(bins, planner.available_bytes(heap, graph.n))}")
         print(f"partitions: {graph.edges.rdd.getNumPartitions()} (<= {planner.max_edges_per_bin(heap, graph.n)} edges at once)")
     print(f"iterations: {found.iterations} ({'converged' if found.converged else 'max reached'})")
     if (rss := peak_resident_bytes()) >= 0:

@@ -53,11 +53,17 @@ def degrees(collapsed: DataFrame) -> DataFrame:
     return ends.groupBy("v").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def build_graph(edges: DataFrame, storage: str = "out-of-core", partitions: int | None = None) -> Graph:
-    """A kept graph of (src, dst) rows; rows with a null end raise."""
+def build_graph(edges: DataFrame, storage: str = "out-of-core", partitions: int | None = None, max_edges_per_bin: int | None = None) -> Graph:
+    """A kept graph of (src, dst) rows; rows with a null end raise. With `max_edges_per_bin`, which
+    `planner.max_edges_per_bin` derives from a memory budget, there are so many partitions that none holds more edges on
+    average; this counts the edges first."""
     if storage not in STORAGE:
         raise ValueError(f"storage must be one of {sorted(STORAGE)}")
     ends = [F.coalesce(F.col(c).cast("long"), F.raise_error(F.lit("an edge has a null end")).cast("long")).alias(c) for c in ("src", "dst")]
+    if max_edges_per_bin is not None:
+        if max_edges_per_bin < 1:
+            raise ValueError("max_edges_per_bin must be at least 1")
+        partitions = max(partitions or 1, -(-edges.count() // max_edges_per_bin))
     parts = collapse(edges.select(*ends))
     parts = (parts.repartition(partitions, "dst") if partitions else parts.repartition("dst")).persist(STORAGE[storage])
     counts = parts.agg(F.count("*"), F.coalesce(F.sum("mult"), F.lit(0))).first()

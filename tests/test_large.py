@@ -43,6 +43,14 @@ def test_hubs_are_dealt_and_edges_stay(spark, monkeypatch):
     assert "Bucketed: true" in scan and not any("Exchange" in line for line in above)
 
 
+def test_bins_of_a_budget(spark):
+    edges = spark.createDataFrame([(i % 50, i % 7) for i in range(300)], "src long, dst long")
+    assert g.build_graph(edges, max_edges_per_bin=40).edges.rdd.getNumPartitions() == 8
+    assert g.build_graph(edges, max_edges_per_bin=40, partitions=11).edges.rdd.getNumPartitions() == 11
+    with pytest.raises(ValueError):
+        g.build_graph(edges, max_edges_per_bin=0)
+
+
 def test_runs_as_csv(tmp_path, spark):
     path = str(tmp_path / "runs.csv")
     for threads, ms in ((1, 80.0), (4, 25.0)):
