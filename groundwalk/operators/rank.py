@@ -6,30 +6,34 @@ number. The run has converged when the sum of all changes, the ground's included
 of vertices; then the ground's score is shared out.
 
 Engines: `parallel` and `common` run the same formula; `dense` iterates an explicit transition table with the ground
-as a vertex and shares no code with them. How `parallel` runs depends on sizes that are counted first:
-
-* packed: at most PACKED_EDGES distinct edges; `common` runs like this up to there, then like `parallel`. One task holds the graph in arrays; a loop of jobs would spend its time on
-  scheduling.
-* pull: at most BROADCAST_VERTICES vertices. Edges stay where they are, partitioned by destination; the contributions are
-  broadcast, their size is known. No edge moves after the build.
+as a vertex and shares no code with them. Any function (graph, tolerance, max_iterations) -> RankResult is an engine too.
+How `parallel` runs depends on sizes that are counted first:
+
+* packed: at most PACKED_EDGES distinct edges; `common` runs like this up to there, then like `parallel`. One task holds
+  the graph in arrays; a loop of jobs would spend its time on scheduling.
+* pull: at most BROADCAST_VERTICES vertices. Edges are written once as blocks of arrays, at most BLOCK in each, where
+  they are; an iteration is one job, which broadcasts the contributions and brings back a sum per vertex, both of known
+  size. No edge moves after the build.
 * shuffle: any size. Contributions meet the edges by source, sums are combined before they move to their destination.
+* a function (edges, state) -> (v, x) in place of the last one's gather; see `gather`.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import bucketed, discard, materialize
 from .graph import Graph
 
 TOLERANCE, MAX_ITERATIONS = 1e-8, 100
-PACKED_EDGES, BROADCAST_VERTICES = 8_000_000, 2_000_000
+PACKED_EDGES, BROADCAST_VERTICES, BLOCK = 8_000_000, 2_000_000, 1 << 20
 #: Edges of a source that one bucket holds; a source of more is dealt over several.
 HUB = 1_000_000
 ENGINES = ("dense", "common", "parallel")
@@ -47,6 +51,10 @@ class RankResult:
     trace: list[tuple[int, float]] = field(default_factory=list)
 
 
+Engine = Callable[[Graph, float, int], RankResult]
+Gather = Callable[[DataFrame, DataFrame], DataFrame]
+
+
 def check_limits(tolerance: float, max_iterations: int) -> None:
     if not tolerance > 0:
         raise ValueError("tolerance must be positive")
@@ -54,8 +62,10 @@ def check_limits(tolerance: float, max_iterations: int) -> None:
         raise ValueError("max_iterations must be at least 1")
 
 
-def rank(graph: Graph, engine: str = "parallel", tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS, strategy: str = "auto") -> RankResult:
+def rank(graph: Graph, engine: str | Engine = "parallel", tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS, strategy: str | Gather = "auto") -> RankResult:
     check_limits(tolerance, max_iterations)
+    if callable(engine):
+        return engine(graph, tolerance, max_iterations)
     if engine not in ENGINES:
         raise ValueError(f"engine must be one of {', '.join(ENGINES)}")
     spark = graph.edges.sparkSession
@@ -69,8 +79,12 @@ def rank(graph: Graph, engine: str = "parallel", tolerance: float = TOLERANCE, m
         if graph.distinct > PACKED_EDGES:
             raise ValueError(f"a packed run takes at most {PACKED_EDGES} distinct edges")
         return packed(graph, tolerance, max_iterations)
-    if strategy not in ("pull", "shuffle"):
-        raise ValueError("strategy must be auto, packed, pull or shuffle")
+    if strategy == "pull":
+        if graph.n > BROADCAST_VERTICES:
+            raise ValueError(f"a pull run takes at most {BROADCAST_VERTICES} vertices")
+        return pulled(graph, tolerance, max_iterations)
+    if strategy != "shuffle" and not callable(strategy):
+        raise ValueError("strategy must be auto, packed, pull, shuffle or a gather")
     return _distributed(graph, tolerance, max_iterations, strategy)
 
 
@@ -135,6 +149,81 @@ def packed(graph: Graph, tolerance: float = TOLERANCE, max_iterations: int = MAX
     return RankResult(made.where("vertex is not null").select("vertex", "rank"), len(trace), trace[-1]["converged"], [(r["iterations"], r["rank"]) for r in trace])
 
 
+# ---- pull ---------------------------------------------------------------------------------------------------
+
+
+def _blocks(ids):
+    """Edges in the order of dst -> blocks: the places of their destinations among `ids`, where each of them begins, the
+    places of the sources and the repeats (none where all edges are single)."""
+
+    def block(src: np.ndarray, dst: np.ndarray, mult: np.ndarray) -> pa.RecordBatch:
+        known = ids.value
+        starts = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
+        arrays = np.searchsorted(known, dst[starts]), starts, np.searchsorted(known, src)
+        cells = [a.astype(np.int32).tobytes() for a in arrays]
+        cells.append(mult.astype(np.float64).tobytes() if (mult > 1).any() else b"")
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["at", "starts", "src", "mult"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("src", "dst", "mult")])
+            size += batch.num_rows
+            if size >= BLOCK:
+                yield block(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield block(*map(np.concatenate, zip(*held, strict=True)))
+
+    return run
+
+
+def _sums(contributions):
+    """Blocks -> (at, x): what the edges of a block bring each of its destinations."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = contributions.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                brought = c[np.frombuffer(row["src"], np.int32)]
+                if row["mult"]:
+                    brought = brought * np.frombuffer(row["mult"])
+                x = np.add.reduceat(brought, np.frombuffer(row["starts"], np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([row["at"]], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["at", "x"])
+
+    return run
+
+
+def pulled(graph: Graph, tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS) -> RankResult:
+    """The run with the state, three numbers for each of at most BROADCAST_VERTICES vertices, in the driver. Edges are read
+    from the shared folder in each iteration, so a lost executor costs its own tasks only."""
+    spark = graph.edges.sparkSession
+    kept = graph.vertices.select(F.col("v").cast("long"), F.col("out_degree").cast("long")).toArrow().sort_by("v")
+    ids, out_degree = kept.column("v").to_numpy(), kept.column("out_degree").to_numpy()
+    n, shared = graph.n, spark.sparkContext.broadcast(ids)
+    ordered = graph.edges.select("src", "dst", "mult").sortWithinPartitions("dst")
+    blocks = materialize(ordered.mapInArrow(_blocks(shared), "at binary, starts binary, src binary, mult binary"), "blocks")
+    s, ground, trace, converged = np.ones(n), 0.0, [], False
+    for k in range(1, max_iterations + 1):
+        c = s / (out_degree + 1.0)
+        sent = spark.sparkContext.broadcast(c)
+        new = np.full(n, ground / n)
+        for row in blocks.mapInArrow(_sums(sent), "at binary, x binary").toArrow().to_pylist():
+            new[np.frombuffer(row["at"], np.int32)] += np.frombuffer(row["x"])  # a block has a destination once
+        sent.destroy()
+        gained = float(c.sum())
+        delta = abs(gained - ground) + float(np.abs(new - s).sum())
+        s, ground = new, gained
+        trace.append((k, delta))
+        if delta < tolerance * n:
+            converged = True
+            break
+    discard(blocks)
+    shared.destroy()
+    ranks = spark.createDataFrame(pa.table({"vertex": ids, "rank": s + ground / n}), "vertex long, rank double")
+    return RankResult(materialize(ranks, "ranks"), len(trace), converged, trace)
+
+
 # ---- distributed --------------------------------------------------------------------------------------------
 
 
@@ -155,24 +244,18 @@ def _parts(out_degree):
     return F.ceil(F.greatest(out_degree, F.lit(1)) / HUB)
 
 
-def gather(edges: DataFrame, state: DataFrame, strategy: str) -> DataFrame:
-    """(v, x): what its in-edges bring each vertex. state: (v, out_degree, c). edges: (src, dst, mult), for "shuffle" those
-    of `by_source`."""
-    if strategy == "shuffle":
-        sent = state.where("out_degree > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.col("out_degree")) - 1)))
-        side = sent.select(F.xxhash64(F.col("v"), F.col("part")).alias("k"), F.col("v").alias("from"), "c")
-        # The sources' equality is no key of the join, as the buckets are of k alone.
-        met = edges.join(side, "k").where(F.col("src") - F.col("from") == 0)
-    else:
-        met = edges.join(F.broadcast(state.select(F.col("v").alias("src"), "c")), "src")
+def gather(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """(v, x): what its in-edges bring each vertex. state: (v, out_degree, c); edges: those of `by_source`."""
+    sent = state.where("out_degree > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.col("out_degree")) - 1)))
+    side = sent.select(F.xxhash64(F.col("v"), F.col("part")).alias("k"), F.col("v").alias("from"), "c")
+    # The sources' equality is no key of the join, as the buckets are of k alone.
+    met = edges.join(side, "k").where(F.col("src") - F.col("from") == 0)
     return met.groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("mult") * F.col("c")).alias("x"))
 
 
-def step(graph: Graph, state: DataFrame, ground: float, strategy: str, edges: DataFrame | None = None) -> DataFrame:
+def step(graph: Graph, state: DataFrame, ground: float, edges: DataFrame, by: Gather = gather) -> DataFrame:
     """The next state (v, out_degree, s, p, c): new score, previous score, next contribution."""
-    if edges is None:
-        edges = by_source(graph) if strategy == "shuffle" else graph.edges
-    brought = gather(edges, state.select("v", "out_degree", "c"), strategy)
+    brought = by(edges, state.select("v", "out_degree", "c"))
     s = F.lit(ground / graph.n) + F.coalesce("x", F.lit(0.0))
     new = state.select("v", "out_degree", F.col("s").alias("p")).join(brought, "v", "left").select("v", "out_degree", "p", s.alias("s"))
     return new.withColumn("c", F.col("s") / (F.col("out_degree") + 1))
@@ -182,7 +265,7 @@ def first_state(graph: Graph) -> DataFrame:
     return graph.vertices.select("v", "out_degree", F.lit(1.0).alias("s"), F.lit(1.0).alias("p"), (F.lit(1.0) / (F.col("out_degree") + 1)).alias("c"))
 
 
-def _observed(df: DataFrame, name: str, buckets: int = 0, **sums) -> tuple[DataFrame, dict]:
+def _observed(df: DataFrame, name: str, buckets: int = 0, **sums: Column) -> tuple[DataFrame, dict]:
     """df written, in `buckets` of v if asked for, with sums that its only pass has counted."""
     seen = Observation(f"{name}-{uuid.uuid4().hex}")
     df = df.observe(seen, *[v.alias(k) for k, v in sums.items()])
@@ -190,16 +273,15 @@ def _observed(df: DataFrame, name: str, buckets: int = 0, **sums) -> tuple[DataF
     return kept, {k: v or 0.0 for k, v in seen.get.items()}
 
 
-def _distributed(graph: Graph, tolerance: float, max_iterations: int, strategy: str) -> RankResult:
-    buckets, edges, first = 0, graph.edges, first_state(graph)
-    if strategy == "shuffle":
-        buckets, edges = _buckets(graph), by_source(graph)
-        first = first.repartition(buckets, "v")
-    state, seen = _observed(first, "state", buckets, given=F.sum("c"))
+def _distributed(graph: Graph, tolerance: float, max_iterations: int, strategy: str | Gather) -> RankResult:
+    """By `gather`, or by a function in its place, which gets (src, dst, mult) as edges."""
+    own = not callable(strategy)
+    buckets, edges, by = _buckets(graph), by_source(graph) if own else graph.edges, gather if own else strategy
+    state, seen = _observed(first_state(graph).repartition(buckets, "v"), "state", buckets, given=F.sum("c"))
     ground, trace, converged = 0.0, [], False
     for k in range(1, max_iterations + 1):
         gained, last = seen["given"], state
-        state, seen = _observed(step(graph, state, ground, strategy, edges), "state", buckets, given=F.sum("c"), moved=F.sum(F.abs(F.col("s") - F.col("p"))))
+        state, seen = _observed(step(graph, state, ground, edges, by), "state", buckets, given=F.sum("c"), moved=F.sum(F.abs(F.col("s") - F.col("p"))))
         discard(last)
         delta = abs(gained - ground) + seen["moved"]
         ground = gained

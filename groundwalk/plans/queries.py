@@ -254,7 +254,7 @@ def first_step_contrib(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_gather_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores after one step; the ground starts at 0."""
     graph = _graph(spark, sf_dir)
-    return r.step(graph, r.first_state(graph), 0.0, "shuffle").select("v", F.round("s", 9).alias("s"))
+    return r.step(graph, r.first_state(graph), 0.0, r.by_source(graph)).select("v", F.round("s", 9).alias("s"))
 
 
 @_register("ordered_gather", f"WITH {_E}, {_OD} SELECT dst AS v, round(0.5 + sum(1.0::DOUBLE / d), 9) AS s FROM e JOIN od ON od.v = e.src GROUP BY dst")

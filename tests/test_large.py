@@ -1,6 +1,7 @@
 """Graphs above the bound of a packed run."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from groundwalk.operators import exact
 from groundwalk.operators import graph as g
@@ -35,7 +36,7 @@ def test_hubs_are_dealt_and_edges_stay(spark, monkeypatch):
         assert all(abs(x.rank - truth[x.vertex]) < 1e-12 for x in found.ranks.collect())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        plan = r.gather(r.by_source(graph), r.first_state(graph), "shuffle")._jdf.queryExecution().executedPlan().toString()
+        plan = r.gather(r.by_source(graph), r.first_state(graph))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     scan = next(line for line in plan.splitlines() if "groundwalk_edges" in line)
@@ -60,3 +61,31 @@ def test_runs_as_csv(tmp_path, spark):
     rows = spark.read.csv(path, header=True, inferSchema=True)
     assert rows.columns == results.COLUMNS
     assert [(x.threads, x.speedup, x.efficiency) for x in results.speed_up(rows).orderBy("threads").collect()] == [(1, 1.0, 1.0), (4, 3.2, 0.8)]
+
+
+def test_pull_in_blocks(spark, monkeypatch):
+    """Ranks don't depend on how edges are cut into blocks, also where a destination's edges lie in several."""
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 90)] + [(i, -(i * 7) % 60) for i in range(60)] * 2, "src long, dst long")
+    graph = g.build_graph(edges, partitions=3)
+    truth = r.rank(graph, strategy="packed", max_iterations=6)
+    monkeypatch.setattr(r, "BLOCK", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = r.rank(graph, strategy="pull", max_iterations=6)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ranks = {x.vertex: x.rank for x in truth.ranks.collect()}
+    assert all(abs(x.rank - ranks.pop(x.vertex)) < 1e-12 for x in found.ranks.collect()) and not ranks
+    assert all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(found.trace, truth.trace, strict=True))
+    monkeypatch.setattr(r, "BROADCAST_VERTICES", 10)
+    with pytest.raises(ValueError, match="at most 10"):
+        r.rank(graph, strategy="pull")
+
+
+def test_own_engines_and_gathers(spark):
+    graph = g.build_graph(spark.createDataFrame([(1, 2), (2, 3), (2, 3), (3, 1)], "src long, dst long"))
+    own = lambda graph, tolerance, most: r.RankResult(graph.vertices.selectExpr("v as vertex", "1D as rank"), most, False)
+    assert r.rank(graph, own, max_iterations=7).iterations == 7
+    by = lambda edges, state: edges.join(state, edges["src"] == state["v"]).groupBy(edges["dst"].alias("v")).agg(F.sum(F.col("mult") * F.col("c")).alias("x"))
+    truth = {x.vertex: x.rank for x in r.rank(graph).ranks.collect()}
+    assert all(abs(x.rank - truth[x.vertex]) < 1e-9 for x in r.rank(graph, strategy=by).ranks.collect())
