@@ -6,6 +6,8 @@ added in the order of these ids.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -75,8 +77,8 @@ def ordered_gather(edges: DataFrame, contributions: DataFrame, base: float) -> D
     return met.groupBy(F.col("dst").alias("v")).agg(F.aggregate(terms, F.lit(base), lambda acc, x: acc + x["c"]).alias("s"))
 
 
-def ordered_sum(values: DataFrame, start: float | None = None) -> float:
-    """Sum of rows (v, x) one by one in the order of v, after `start`. Chunks of CHUNK rows pass through the driver in turn."""
+def in_turn(values: DataFrame, dtype: type = np.float64) -> Iterator[np.ndarray]:
+    """The x of rows (v, x) in the order of v, which numbers them from 0: CHUNK at a time pass through the driver."""
 
     def chunk(table: pa.Table) -> pa.Table:
         own = table.sort_by("v")
@@ -84,7 +86,12 @@ def ordered_sum(values: DataFrame, start: float | None = None) -> float:
 
     chunks = values.select("v", "x", F.floor(F.col("v") / CHUNK).cast("long").alias("chunk")).groupBy("chunk").applyInArrow(chunk, "chunk long, x binary")
     for row in materialize(chunks, "chunks").orderBy("chunk").toLocalIterator():
-        x = np.frombuffer(row["x"])
+        yield np.frombuffer(row["x"], dtype)
+
+
+def ordered_sum(values: DataFrame, start: float | None = None) -> float:
+    """Sum of rows (v, x) one by one in the order of v, after `start`."""
+    for x in in_turn(values):
         start = float(np.cumsum(x if start is None else np.concatenate([[start], x]))[-1])
     return start or 0.0
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
+
 # Bytes of memory that a build sets aside, per vertex and in all, and per open bin.
 RESERVE, PER_VERTEX, OPEN_BIN = 32 << 20, 16, 64 << 10
 INT_MAX = (1 << 31) - 1
@@ -19,40 +22,42 @@ class Range:
     oversized: bool = False
 
 
-def plan_shards(upto: list[int], count: int) -> list[Range]:
-    """At most `count` ranges of about equal numbers of edges; `upto` are running in-degrees from 0. No vertex is split."""
+def plan_shards(degrees: Iterable[np.ndarray], count: int, edges: int) -> list[Range]:
+    """At most `count` ranges of about equal numbers of the `edges`; a range ends as soon as it has its share, the last one
+    with the vertices. `degrees` are the in-degrees in order, in arrays of any size; only ranges are kept."""
     if count < 1:
         raise ValueError("count must be at least 1")
-    n = len(upto) - 1
+    share = max(1, edges // count)
     out: list[Range] = []
-    target = max(1, upto[-1] // count) if n > 0 else 1
-    begin = 0
-    for v in range(n):
-        last = len(out) == count - 1
-        if v + 1 == n or (not last and upto[v + 1] - upto[begin] >= target):
-            out.append(Range(begin, v + 1, upto[v + 1] - upto[begin]))
-            begin = v + 1
-    return out
-
-
-def plan_bins(upto: list[int], most: int) -> list[Range]:
-    """Ranges of at most `most` edges; a vertex with more stands alone and is marked."""
+    begin = seen = done = total = 0  # done: edges of the ranges in out
+    for part in degrees:
+        upto = total + np.cumsum(part, dtype=np.int64)
+        while len(out) < count - 1 and (i := int(np.searchsorted(upto, done + share))) < len(upto):
+            out.append(Range(begin, seen + i + 1, int(upto[i]) - done))
+            begin, done = seen + i + 1, int(upto[i])
+        seen, total = seen + len(part), total + int(part.sum())
+    return [*out, Range(begin, seen, total - done)] if begin < seen else out
+
+
+def plan_bins(degrees: Iterable[np.ndarray], most: int) -> list[Range]:
+    """Ranges of at most `most` edges; a vertex with more stands alone and is marked. `degrees` as for `plan_shards`."""
     if most < 1:
         raise ValueError("most must be at least 1")
     out: list[Range] = []
-    begin = 0
-    n = len(upto) - 1
-    for v in range(n):
-        own = upto[v + 1] - upto[v]
-        if begin < v and (own > most or upto[v + 1] - upto[begin] > most):
-            out.append(Range(begin, v, upto[v] - upto[begin]))
-            begin = v
-        if own > most:
-            out.append(Range(v, v + 1, own, True))
-            begin = v + 1
-    if begin < n:
-        out.append(Range(begin, n, upto[n] - upto[begin]))
-    return out
+    begin = seen = done = total = 0
+    for part in degrees:
+        upto = total + np.cumsum(part, dtype=np.int64)
+        # The first vertex that doesn't fit into the open range.
+        while (i := int(np.searchsorted(upto, done + most, "right"))) < len(upto):
+            before = int(upto[i - 1]) if i else total
+            if begin < seen + i:
+                out.append(Range(begin, seen + i, before - done))
+                begin, done = seen + i, before
+            if part[i] > most:
+                out.append(Range(begin, begin + 1, int(part[i]), True))
+                begin, done = begin + 1, int(upto[i])
+        seen, total = seen + len(part), total + int(part.sum())
+    return [*out, Range(begin, seen, total - done)] if begin < seen else out
 
 
 def available_bytes(total: int, vertices: int) -> int:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +47,12 @@ _E = f"e AS MATERIALIZED ({SQL[_PARTS]})"
 
 
 def _walk(graph: str, most: int = 100) -> str:
+    return _walk_of(SQL[graph], most)
+
+
+def _walk_of(edges: str, most: int = 100) -> str:
     """CTEs of the whole iteration with the ground as vertex 2^40: it(k, v, s), n, dl(k, d), stop(k)."""
-    return f"""WITH RECURSIVE e AS MATERIALIZED ({SQL[graph]}),
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({edges}),
 vx AS MATERIALIZED (SELECT src v FROM e UNION SELECT dst FROM e),
 n AS MATERIALIZED (SELECT count(*)::DOUBLE n FROM vx),
 od AS MATERIALIZED (SELECT v, coalesce(c,0)+1 d FROM vx LEFT JOIN (SELECT src, count(*) c FROM e GROUP BY src) o ON o.src=vx.v),
@@ -97,6 +102,13 @@ def snap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.read_snap(spark, path)
 
 
+@_register("edge_lines", "SELECT CAST(n_nationkey AS INTEGER) AS src, CAST(n_regionkey AS INTEGER) AS dst FROM nation")
+def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of text in memory: a line for each of the 25 nations."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey").collect()
+    return sources.edges_of_lines(spark, ["from,to", *(f" {a} , {b}" for a, b in nations), ""])
+
+
 @_register("edge_count", f"WITH {_E} SELECT count(*) AS edges FROM e")
 def edge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GRAPHS[_PARTS](spark, sf_dir).agg(F.count("*").alias("edges"))
@@ -137,6 +149,21 @@ def multi_edge_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.collapse(GRAPHS[_PARTS](spark, sf_dir))
 
 
+_STORED = f"WITH {_E} SELECT v, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) AS in_degree FROM (SELECT src AS v FROM e UNION SELECT dst FROM e) LEFT JOIN (SELECT src, count(*) c FROM e GROUP BY src) o ON o.src = v LEFT JOIN (SELECT dst, count(*) c FROM e GROUP BY dst) i ON i.dst = v"
+
+
+@_register("build_in_memory", _STORED)
+def build_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.build_graph(GRAPHS[_PARTS](spark, sf_dir), storage="in-memory").vertices.select("v", "out_degree", "in_degree")
+
+
+@_register("build_by_budget", _STORED)
+def build_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An out-of-core build cut by a memory budget."""
+    most = planner.max_edges_per_bin(34 << 20, 20_000)
+    return g.build_graph(GRAPHS[_PARTS](spark, sf_dir), max_edges_per_bin=most).vertices.select("v", "out_degree", "in_degree")
+
+
 @_register("in_neighbours", f"WITH {_E} SELECT src FROM e WHERE dst = 7")
 def in_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.in_neighbours(_graph(spark, sf_dir), 7)
@@ -182,23 +209,35 @@ def dense_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.collapse(coded)
 
 
+@_register("dense_ids_of_text", f"WITH {_PLACED} SELECT v, dense FROM ids")
+def dense_ids_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in order of first appearance in text of several files, read in parallel."""
+    from ..scratch import shared_dir
+
+    path = f"{shared_dir(spark)}/placed-{spark.sparkContext.applicationId}-{zlib.crc32(sf_dir.encode())}.csv"
+    sources.write_edges(_placed_edges(spark, sf_dir).withColumn("place", F.struct(*_PLACE)), path, order="place")
+    found = exact.dense_ids(sources.read_edges(spark, path, ordered=True), "file", "block", "row")
+    return found.select(F.col("v").cast("long").alias("v"), F.col("dense").cast("long").alias("dense"))
+
+
 @_register("csc_prefix_sums", f"WITH {_E} SELECT dst AS v, count(*) AS in_degree, CAST(sum(count(*)) OVER (ORDER BY dst) AS BIGINT) AS upto FROM e GROUP BY dst")
 def csc_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.prefix_sums(g.in_degrees(GRAPHS[_PARTS](spark, sf_dir)))
 
 
-def _ranges(spark: SparkSession, sf_dir: str, plan) -> DataFrame:
-    """A plan over nations by in-degree: 25 numbers at any scale."""
-    graph = _graph(spark, sf_dir, "nation_trade")
-    upto = [0]
-    for row in graph.vertices.orderBy("v").collect():
-        upto.append(upto[-1] + row["in_degree"])
-    return spark.createDataFrame([(x.begin, x.end, x.edges, x.oversized) for x in plan(upto)], "first long, past long, edges long, oversized boolean")
+def _degrees_in_turn(graph: g.Graph) -> Iterator[np.ndarray]:
+    """In-degrees in the order of the vertices."""
+    placed = exact.numbered(graph.vertices.select("v", "in_degree"), F.col("v"), "place")
+    return exact.in_turn(placed.select(F.col("place").alias("v"), F.col("in_degree").cast("long").alias("x")), np.int64)
+
 
+def _ranges(spark: SparkSession, plan: list[planner.Range]) -> DataFrame:
+    return spark.createDataFrame([(x.begin, x.end, x.edges, x.oversized) for x in plan], "first long, past long, edges long, oversized boolean")
 
-def _greedy_sql(close: str, flag: str) -> str:
+
+def _greedy_sql(graph: str, close: str, flag: str) -> str:
     """Ranges over running in-degrees by a recursive fold; `close` says when a range ends before vertex i."""
-    return f"""WITH RECURSIVE e AS MATERIALIZED ({SQL['nation_trade']}),
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({SQL[graph]}),
 d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY v) - 1 AS i, coalesce(c, 0) AS c FROM (SELECT src AS v FROM e UNION SELECT dst FROM e) LEFT JOIN (SELECT dst, count(*) AS c FROM e GROUP BY dst) ON dst = v),
 q AS MATERIALIZED (SELECT count(*) AS n, CAST(sum(c) AS BIGINT) AS m FROM d),
 f(i, part, acc) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), (SELECT c FROM d WHERE i = 0)
@@ -206,17 +245,43 @@ f(i, part, acc) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), (SELECT c FROM
 SELECT min(f.i) AS first, max(f.i) + 1 AS past, CAST(sum(d.c) AS BIGINT) AS edges, {flag} AS oversized FROM f JOIN d USING (i) GROUP BY part"""
 
 
-@_register("shard_plan", _greedy_sql("f.part < 7 AND f.acc >= greatest(1, q.m // 8)", "false"))
-def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranges(spark, sf_dir, lambda upto: planner.plan_shards(upto, 8))
+_EIGHTHS = "f.part < 7 AND f.acc >= greatest(1, q.m // 8)"
+_MOST = "(q.m // 20)"
+_TWENTIETHS = (f"f.acc + d.c > {_MOST}", f"max(d.c) > (SELECT {_MOST} FROM q)")
 
 
-_MOST = "(q.m // 20)"
+@_register("shard_plan", _greedy_sql("nation_trade", _EIGHTHS, "false"))
+def shard_plan(spark: SparkSession, sf_dir: str, name: str = "nation_trade") -> DataFrame:
+    """Ranges of vertices with an eighth of the edges each."""
+    graph = _graph(spark, sf_dir, name)
+    return _ranges(spark, planner.plan_shards(_degrees_in_turn(graph), 8, graph.m))
+
+
+@_register("bin_plan", _greedy_sql("nation_trade", *_TWENTIETHS))
+def bin_plan(spark: SparkSession, sf_dir: str, name: str = "nation_trade") -> DataFrame:
+    """Ranges of vertices with at most a twentieth of the edges each."""
+    graph = _graph(spark, sf_dir, name)
+    return _ranges(spark, planner.plan_bins(_degrees_in_turn(graph), max(1, graph.m // 20)))
+
+
+@_register("shard_plan_parts", _greedy_sql(_PARTS, _EIGHTHS, "false"))
+def shard_plan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_plan(spark, sf_dir, _PARTS)
 
 
-@_register("bin_plan", _greedy_sql(f"f.acc + d.c > {_MOST}", f"max(d.c) > (SELECT {_MOST} FROM q)"))
-def bin_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranges(spark, sf_dir, lambda upto: planner.plan_bins(upto, upto[-1] // 20))
+@_register("bin_plan_parts", _greedy_sql(_PARTS, *_TWENTIETHS))
+def bin_plan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_plan(spark, sf_dir, _PARTS)
+
+
+_BUDGETS = (0, 1 << 16, 5 << 16, 1 << 30)
+
+
+@_register("wave_count", f"WITH {_E}, b AS (SELECT count(DISTINCT dst // 64) AS bins FROM e) SELECT free, bins, ceil(bins / least(greatest(free // 65536, 1), bins))::BIGINT AS waves FROM b, (SELECT unnest({list(_BUDGETS)})::BIGINT AS free)")
+def wave_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes over the edges if only so many ranges of 64 destinations can be open at once, for several budgets."""
+    bins = bin_counts(spark, sf_dir).count()
+    return spark.createDataFrame([(free, bins, planner.waves(bins, free)) for free in _BUDGETS], "free long, bins long, waves long")
 
 
 @_register("bin_counts", f"WITH {_E} SELECT dst // 64 AS bin, count(*) AS edges FROM e GROUP BY 1")
@@ -397,12 +462,22 @@ def rank_csv_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="vertex long, rank double").select("vertex", F.round("rank", 6).alias("rank"))
 
 
-@_register("rmat_edges")
+_RMAT = """WITH RECURSIVE j(k, a, c) AS (SELECT 0, 25214903917::HUGEINT, 11::HUGEINT UNION ALL SELECT k + 1, a * a % 281474976710656, (a * c + c) % 281474976710656 FROM j WHERE k < 18),
+s(k, id, x) AS (SELECT 0, id, xor(99, 25214903917)::HUGEINT FROM range(20000) r(id) UNION ALL SELECT s.k + 1, id, CASE WHEN (id * 20 >> s.k) & 1 = 1 THEN (a * x + c) % 281474976710656 ELSE x END FROM s JOIN j ON j.k = s.k),
+b(n, id, x, u, f, t) AS (SELECT 0, id, x, 0::DOUBLE, 0, 0 FROM s WHERE k = 19
+  UNION ALL SELECT n + 1, id, z, w, 2 * f + CASE WHEN w >= 0.57::DOUBLE + 0.19::DOUBLE THEN 1 ELSE 0 END, 2 * t + CASE WHEN (w >= 0.57 AND w < 0.57::DOUBLE + 0.19::DOUBLE) OR w >= 0.57::DOUBLE + 0.19::DOUBLE + 0.19::DOUBLE THEN 1 ELSE 0 END
+  FROM (SELECT *, ((y // 4194304) * 134217728 + z // 2097152)::DOUBLE / 9007199254740992::DOUBLE AS w FROM (SELECT *, (y * 25214903917 + 11) % 281474976710656 AS z FROM (SELECT *, (x * 25214903917 + 11) % 281474976710656 AS y FROM b WHERE n < 10))))
+"""
+_RMAT_EDGES = _RMAT + "SELECT id, f::INTEGER AS src, t::INTEGER AS dst FROM b WHERE n = 10"
+_RMAT_PAIRS = f"SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM ({_RMAT_EDGES})"
+
+
+@_register("rmat_edges", _RMAT_EDGES)
 def rmat_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rmat_module.rmat(spark, 10, 20_000, seed=99)
 
 
-@_register("rmat_rank")
+@_register("rmat_rank", _walk_of(_RMAT_PAIRS) + f", {_FINAL} SELECT vertex, rank FROM final")
 def rmat_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = g.build_graph(rmat_module.rmat(spark, 10, 20_000, seed=99).select("src", "dst"))
-    return r.rank(graph).ranks
+    return r.rank(graph).ranks.select("vertex", F.round("rank", 6).alias("rank"))

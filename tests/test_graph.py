@@ -196,29 +196,32 @@ def test_rank_text(spark, tmp_path):
 # ---- plans and generator ------------------------------------------------------------------------------------
 
 
-def upto(degrees):
-    return [0, *np.cumsum(degrees).tolist()]
-
-
-def test_shards():
-    degrees = [2, 7, 1, 9, 3, 0, 4, 5]
-    plan = planner.plan_shards(upto(degrees), 4)
-    assert sum(x.edges for x in plan) == 31 and len(plan) <= 4 and plan[0].begin == 0 and plan[-1].end == 8
-    assert [x.edges for x in planner.plan_shards(upto([1] * 100), 10)] == [10] * 10
-    assert any(x.begin <= 2 < x.end and x.edges >= 5000 for x in planner.plan_shards(upto([1, 1, 5000, 1, 1, 1, 1, 1]), 4))
-    assert len(planner.plan_shards(upto([0] * 20), 8)) == 1 and planner.plan_shards([0], 3) == []
+def parts(degrees, size):
+    return [np.array(degrees[i : i + size], np.int64) for i in range(0, len(degrees), size)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_shards(size):
+    plan = lambda d, count: planner.plan_shards(parts(d, size), count, sum(d))
+    found = plan([2, 7, 1, 9, 3, 0, 4, 5], 4)
+    assert sum(x.edges for x in found) == 31 and len(found) <= 4 and found[0].begin == 0 and found[-1].end == 8
+    assert [x.edges for x in plan([1] * 100, 10)] == [10] * 10
+    assert any(x.begin <= 2 < x.end and x.edges >= 5000 for x in plan([1, 1, 5000, 1, 1, 1, 1, 1], 4))
+    assert len(plan([0] * 20, 8)) == 1 and plan([], 3) == []
     with pytest.raises(ValueError):
-        planner.plan_shards([0, 1], 0)
+        plan([1], 0)
 
 
-def test_bins():
-    cut = lambda d, m: [(x.begin, x.end, x.edges, x.oversized) for x in planner.plan_bins(upto(d), m)]
+@pytest.mark.parametrize("size", [1, 2, 1000])
+def test_bins(size):
+    cut = lambda d, m: [(x.begin, x.end, x.edges, x.oversized) for x in planner.plan_bins(parts(d, size), m)]
     assert cut([2] * 5, 4) == [(0, 2, 4, False), (2, 4, 4, False), (4, 5, 2, False)]
     assert cut([1, 10, 1], 4) == [(0, 1, 1, False), (1, 2, 10, True), (2, 3, 1, False)]
+    assert cut([10, 0, 11], 4) == [(0, 1, 10, True), (1, 2, 0, False), (2, 3, 11, True)]
     assert cut([1, 1, 1], 100) == [(0, 3, 3, False)] and cut([], 3) == []
     assert sum(x[2] for x in cut([1, 3, 2, 4, 1, 1, 2], 5)) == 14 and max(x[2] for x in cut([1, 3, 2, 4, 1, 1, 2], 5)) <= 5
     with pytest.raises(ValueError):
-        planner.plan_bins([0, 1], 0)
+        cut([1], 0)
 
 
 def test_budget_and_waves():
