@@ -78,7 +78,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, dict
     call_id is dropped, as nothing can refer to it. Calls that repeat an identifier are one: the smallest (name,
     arguments, follows) stands. Of several results the smallest content is taken, n_results counts all; results of
     unknown calls are left out. Null arguments are not an object. The JSON leaves out what is null. Further columns don't
-    matter.
+    matter. Rows in the order of (depth, call_id) are in topological order within their conversation, null depths last.
     """
     whole = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     one = calls.where(whole).groupBy(*_KEYS).agg(F.min(F.struct("name", "arguments", "follows")).alias("c")).select(*_KEYS, "c.name", "c.arguments", "c.follows")
@@ -105,13 +105,19 @@ def of_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Each user turn is a call: its tool by the length of the text, its arguments the text and the number of its spaces plus
     one, and it follows the user turn two before it, if there is one. Each assistant turn is the result of the
-    call one turn before it. Null roles and turns are neither; a null text is an empty one.
+    call one turn before it. So that each kind of error occurs, a quarter of the lengths name a tool that isn't known, every
+    seventh has no limit, every eleventh has it as a string and every thirteenth has a further field. Null roles
+    and turns are neither call nor result; a null text is an empty one.
     """
     text = F.coalesce("text", F.lit(""))
-    name = F.element_at(F.array(F.lit("search"), F.lit("summarize"), F.lit("translate")), (F.char_length(text) % 3 + 1).cast("int"))
-    limit = F.char_length(text) - F.char_length(F.translate(text, " ", "")) + 1
+    length = F.char_length(text)
+    name = F.element_at(F.array(*[F.lit(t) for t in ("search", "summarize", "translate", "lookup")]), (length % 4 + 1).cast("int"))
+    limit = F.when(length % 7 != 0, length - F.char_length(F.translate(text, " ", "")) + 1)
+    further = F.when(length % 13 == 0, F.lit("en"))
+    written = lambda limit: F.to_json(F.struct(text.alias("query"), limit.alias("limit"), further.alias("lang")))
+    arguments = F.when(length % 11 == 0, written(limit.cast("string"))).otherwise(written(limit))
     of = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
-    calls = turns.where("role = 'user' and turn is not null").select("conv_id", of(F.col("turn")).alias("call_id"), of(F.col("turn") - 2).alias("follows"), name.alias("name"), F.to_json(F.struct(text.alias("query"), limit.alias("limit"))).alias("arguments"))
+    calls = turns.where("role = 'user' and turn is not null").select("conv_id", of(F.col("turn")).alias("call_id"), of(F.col("turn") - 2).alias("follows"), name.alias("name"), arguments.alias("arguments"))
     results = turns.where("role = 'assistant' and turn is not null").select("conv_id", of(F.col("turn") - 1).alias("call_id"), text.alias("content"))
     return calls, results
 
@@ -121,11 +127,13 @@ WITH RECURSIVE u AS MATERIALIZED (SELECT conv_id, turn, coalesce(text, '') AS t
 d(conv_id, turn, depth) AS (SELECT conv_id, turn, 0 FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
   UNION ALL SELECT u.conv_id, u.turn, d.depth + 1 FROM d JOIN u ON u.conv_id = d.conv_id AND u.turn = d.turn + 2),
 a AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n_results, min(coalesce(text, '')) AS content FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY 1, 2),
-x AS (SELECT u.conv_id, u.turn, t, depth, n_results, content, len(t) - len(replace(t, ' ', '')) + 1 AS lim, CASE len(t) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'summarize' ELSE 'translate' END AS name
-  FROM u JOIN d USING (conv_id, turn) LEFT JOIN a USING (conv_id, turn)),
-e AS (SELECT *, concat_ws(';', CASE WHEN name = 'summarize' AND lim < 10 THEN 'minimum:limit' END, CASE WHEN name = 'search' AND lim > 40 THEN 'maximum:limit' END, CASE WHEN name = 'search' AND t = '' THEN 'minLength:query' END) AS errors FROM x)
+x AS (SELECT u.conv_id, u.turn, t, depth, n_results, content, len(t) AS n, CASE WHEN len(t) % 7 <> 0 THEN len(t) - len(replace(t, ' ', '')) + 1 END AS lim,
+  CASE len(t) % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'summarize' WHEN 2 THEN 'translate' ELSE 'lookup' END AS name FROM u JOIN d USING (conv_id, turn) LEFT JOIN a USING (conv_id, turn)),
+e AS (SELECT *, CASE WHEN name = 'lookup' THEN 'unknown_tool' ELSE concat_ws(';',
+  CASE WHEN lim IS NULL THEN CASE WHEN name <> 'translate' THEN 'missing:limit' END WHEN n % 11 = 0 THEN 'type:limit' WHEN name = 'summarize' AND lim < 10 THEN 'minimum:limit' WHEN name = 'search' AND lim > 40 THEN 'maximum:limit' END,
+  CASE WHEN name = 'search' AND t = '' THEN 'minLength:query' END, CASE WHEN n % 13 = 0 THEN 'unexpected:lang' END) END AS errors FROM x)
 SELECT conv_id, 'call_' || turn AS call_id, name, CAST(depth AS BIGINT) AS depth, coalesce(n_results, 0) AS n_results, errors = '' AS valid, errors,
- '{"arguments":{"limit":' || lim || ',"query":' || CAST(to_json(t) AS VARCHAR) || '},"call_id":"call_' || turn || '","depth":' || depth || ',"follows":"call_' || (turn - 2) || '","name":"' || name || '"'
+ '{"arguments":{' || CASE WHEN n % 13 = 0 THEN '"lang":"en",' ELSE '' END || CASE WHEN lim IS NULL THEN '' WHEN n % 11 = 0 THEN '"limit":"' || lim || '",' ELSE '"limit":' || lim || ',' END || '"query":' || CAST(to_json(t) AS VARCHAR) || '},"call_id":"call_' || turn || '","depth":' || depth || ',"follows":"call_' || (turn - 2) || '","name":"' || name || '"'
  || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || CAST(to_json(content) AS VARCHAR) END || ',"valid":' || CASE WHEN errors = '' THEN 'true' ELSE 'false' END || '}' AS json
 FROM e
 """
