@@ -434,6 +434,18 @@ def test_scores(spark, corpus):
     assert lm.score(spark.createDataFrame([(0, None), (0, None), (None, "a")], "doc_id long, text string"), TOKENIZER).count() == 3
 
 
+def test_scores_odd_tables(spark):
+    """Equal texts have equal scores whatever their ids; a text of many windows; names of results as columns."""
+    rows = [(i, prose(i % 5, 30), i) for i in range(1, 40)] + [(50, prose(9, 20_000), 0), (51, prose(9, 20_000), 0), (51, prose(9, 20_000), 0), (52, "", 0), (53, None, 0)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, score int"), TOKENIZER, warm=20).collect()
+    assert len(got) == len(rows) and got[0].train_tokens > 0
+    score = {}
+    for x in got:
+        score.setdefault((x.n_tokens, rows[x.doc_id - 1][1] if x.doc_id < 40 else x.n_tokens), set()).add(x.score)
+    assert all(max(s) - min(s) < 1e-4 * abs(min(s)) for s in score.values())
+    assert sorted(x.n_tokens for x in got if x.doc_id >= 50) == [1, 1, 20_001, 20_001, 20_001]
+
+
 def test_scores_by_a_plain_version(spark, corpus, monkeypatch):
     """Scores from the model's parts, a word at a time; the same whether words meet their counts in a task or in a join."""
     monkeypatch.setattr(lm, "STEPS", 30)
@@ -602,6 +614,23 @@ def test_media(spark, corpus):
     assert media.digests(media.store(table(spark, []))).count() == 0
 
 
+def test_media_odd_tables(spark):
+    """Rows that repeat, null ids, other columns with names of the results, and a text of many pictures."""
+    long = "".join(chr(32 + i * i % 90) for i in range(70_000))
+    rows = [(1, "a", "x"), (1, "a", "y"), (None, "a", None), (None, None, "z"), (2, long, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, media string").withColumn("n_bytes", F.lit(-1))
+    got = media.digests(media.store(docs)).collect()
+    assert sorted((x.doc_id or 0, x.n_bytes) for x in got) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 70_000)]
+    assert len({(x.payload_sha256, x.media_sha256, x.feature) for x in got}) == 3
+    x = next(x for x in got if x.doc_id == 2)
+    payload = long.encode() + b"\0" * (-len(long) % 64)
+    count = np.bincount(np.frombuffer(payload, np.uint8))
+    share = count[count > 0] / len(payload)
+    fields = dict(f.split("=") for f in x.feature.split(";"))
+    assert x.payload_sha256 == hashlib.sha256(payload).hexdigest() and int(fields["distinct"]) == len(share) and int(fields["pictures"]) == -(-len(payload) // 4096)
+    assert abs(float(fields["entropy"]) + (share * np.log2(share)).sum()) < 1e-6 and abs(float(fields["mean"]) - np.frombuffer(payload, np.uint8).mean()) < 1e-6
+
+
 # ---- licenses -----------------------------------------------------------------------------------------------
 
 
@@ -649,6 +678,14 @@ def test_licenses_against_brute_force(spark):
     assert named == set(enumerate(text))
 
 
+def test_licenses_odd_tables(spark):
+    """Of several places with as many shingles the first is named; rows that repeat are scanned each; a very long text."""
+    notice = licenses.TEMPLATES["MIT"]
+    docs = spark.createDataFrame([(7, f"{prose(2, 40_000)} {notice} {prose(4, 30)} {notice}", "own"), (8, notice, "own"), (8, notice, "own"), (8, None, "own")], "doc_id long, text string, license_id string")
+    found = [(x.doc_id, x.license_id, x.first_word, x.containment) for x in licenses.scan(docs).collect()]
+    assert sorted(found) == [(7, "MIT", 40_000, 1.0), (8, "MIT", 0, 1.0), (8, "MIT", 0, 1.0)]
+
+
 # ---- pages --------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
