@@ -520,6 +520,61 @@ def test_refining_averages_what_tasks_changed(spark):
     assert lm.refine(model, rows.limit(0)) is model
 
 
+def test_every_training_document_trains_the_attention(spark, monkeypatch):
+    """All ids of all training documents, each once, reach the optimizer; tasks count by the ids they met."""
+    monkeypatch.setattr(lm, "STEPS", 5)
+    rows = [(i, prose(i % 7, 20 + i % 50)) for i in range(1, 200)]
+    trained, refine = [], lm.refine
+    monkeypatch.setattr(lm, "refine", lambda m, coded: trained.extend(x.ids for x in coded.select("ids").collect()) or refine(m, coded))
+    assert lm.score(table(spark, rows), TOKENIZER, warm=20).count() == len(rows)
+    ids = encoder(TOKENIZER).ids([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 10])
+    assert sorted(trained) == sorted(x.tobytes() for x in ids)
+
+    monkeypatch.setattr(lm, "HELD", 1500)
+    monkeypatch.setattr(lm, "RUNS", 3)
+    met, pairs, step = Counter(), Counter(), lm.Descent.step
+
+    def counted(self, source, target, first, pace):
+        met.update(target[target >= 0].tolist())
+        pairs.update(zip(source[:, 1:][target >= 0].tolist(), target[target >= 0].tolist(), strict=True))
+        inside = ~first & (target[:, :, 0] >= 0)
+        assert (source[:, :-1, 1:][inside] >= 0).all() and (source[:, 1:, 0][first & (target[:, :, 0] >= 0)] == lm.START).all()
+        step(self, source, target, first, pace)
+
+    monkeypatch.setattr(lm.Descent, "step", counted)
+    count = np.bincount(np.concatenate(ids), minlength=lm.VOCABULARY)
+    model = lm.train(ids[:1], count, steps=3, batch=4)
+    met.clear()
+    pairs.clear()
+    before, untrained = lm.token_scores(model, ids).sum(), model.embed.copy()
+    texts = [*ids[:5], np.zeros(0, np.uint16), *ids[5:]]
+    assert lm.one_pass(model, iter(texts)) == sum(met.values()) == sum(map(len, ids))
+    assert met == Counter(np.concatenate(ids).tolist())
+    assert pairs == Counter(p for t in ids for p in zip([lm.START, *t[:-1].tolist()], t.tolist(), strict=True))
+    assert lm.token_scores(model, ids).sum() > before and (model.embed != untrained).any(axis=1)[np.unique(np.concatenate([t[:-1] for t in ids]))].all()
+    assert lm.one_pass(model, iter([np.zeros(0, np.uint16)])) == 0
+
+
+def test_gradients():
+    """A step's changes of the parameters go down the slope that differences of the loss have."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(1, 50, 70).astype(np.uint16)]
+    source, target, first, _ = lm.blocks_of(texts)
+    model = lm.train(texts, np.bincount(texts[0], minlength=lm.VOCABULARY), steps=20, batch=8)
+    loss = lambda: -lm.token_scores(model, texts).sum() * math.log(10) / 70
+    runs = (np.concatenate([np.zeros((1, lm.BLOCK), np.int32), source])[None], target[None], first[None])
+    descent = lm.Descent(model)
+    descent.step(*runs, 0.0)
+    for p, (mean, _) in zip(model.parameters(), descent.moment, strict=True):
+        at = np.unravel_index(np.abs(mean).argmax(), mean.shape)
+        was, slope = p[at], mean[at] / 0.1
+        p[at] = was + np.float32(0.01)
+        up = loss()
+        p[at] = was - np.float32(0.01)
+        assert abs((up - loss()) / 0.02 - slope) < 0.03 * abs(slope) + 1e-4
+        p[at] = was
+
+
 def test_later_ids_do_not_matter():
     count = np.bincount([5], minlength=lm.VOCABULARY)
     model = lm.train([np.arange(1, 90, dtype=np.uint16)], count, steps=5, batch=8)
