@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -575,6 +576,48 @@ def test_gradients():
         p[at] = was
 
 
+def test_a_step_uses_its_arrays_again(monkeypatch):
+    """Fresh arrays for every step's outputs and weights cost page faults and cache; a step in parts is the same step."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(1, 3000, 4000).astype(np.uint16), rng.integers(1, 3000, 37).astype(np.uint16)]
+    count = np.bincount(np.concatenate(texts), minlength=lm.VOCABULARY)
+    source, target, first, _ = lm.blocks_of(texts)
+    source = np.concatenate([np.zeros((1, lm.BLOCK), np.int32), source])
+    runs = len(target) // lm.RUN
+    step = (source[np.arange(runs)[:, None] * lm.RUN + np.arange(lm.RUN + 1)], target[: runs * lm.RUN].reshape(runs, lm.RUN, -1), first[: runs * lm.RUN].reshape(runs, -1), 0.01)
+    whole = lm.new_model(count)
+    descent = lm.Descent(whole)
+    descent.step(*step)
+    tracemalloc.start()
+    descent.step(*step)
+    assert tracemalloc.get_traced_memory()[1] < 400 * step[1].size  # outputs alone have 256 bytes a token
+    tracemalloc.stop()
+    monkeypatch.setattr(lm, "NEAR", 300)
+    parts = lm.new_model(count)
+    descent = lm.Descent(parts)
+    descent.step(*step)
+    descent.step(*step)
+    for p, q in zip([*whole.parameters(), whole.embed], [*parts.parameters(), parts.embed], strict=True):
+        assert np.allclose(p, q, atol=1e-3)
+
+
+def test_languages_by_a_plain_version():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 50, (40, 4))
+    counts[:, 0] = counts[:, 1:].sum(axis=1)
+    k = lm.Counts(counts.sum(axis=0).astype(float), (counts > 0).sum(axis=0).astype(float), np.full(4, 0.5), 9, np.arange(40, dtype=np.uint64), counts, np.zeros(1), np.zeros(1))
+    place, known, first = rng.integers(0, 40, 60), rng.random(60) < 0.8, np.array([0, 0, 25, 26, 60])
+    for _ in range(2):
+        column, trust = k.languages(place, known, first)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            for i in range(a, b):
+                p = (k.totals[1:] + 1) / (k.totals[1:].sum() + 1)
+                for j in range(a, i):
+                    p = p * ((counts[place[j], 1:] + 0.05) / (k.totals[1:] + 1) if known[j] else 1)
+                assert column[i] == p.argmax() + 1 and abs(trust[i] - lm.TRUST * p.max() / p.sum()) < 1e-5
+    assert [len(x) for x in k.languages(place[:0], known[:0], np.zeros(3, int))] == [0, 0]
+
+
 def test_later_ids_do_not_matter():
     count = np.bincount([5], minlength=lm.VOCABULARY)
     model = lm.train([np.arange(1, 90, dtype=np.uint16)], count, steps=5, batch=8)
